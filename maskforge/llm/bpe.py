@@ -37,7 +37,9 @@ WIDE = 24
 SHORT = 256
 MATRIX_ROWS = 1 << 16
 PIECE = 200_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+#: Rows of an Arrow batch that are encoded and sent on together.
+ROWS_AT_ONCE = 256
 NEVER = 1 << 40
 #: Unicode White_Space, as \s in the pre-tokenizer.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -273,10 +275,12 @@ def _mapped(df: DataFrame, source: bytes, column: str, name: str, kind: T.DataTy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for batch in batches:
-            made = convert(codec, batch.column(batch.schema.get_field_index(column)))
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, made], names=[f.name for f in schema])
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(i, ROWS_AT_ONCE)
+                made = convert(codec, batch.column(batch.schema.get_field_index(column)))
+                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, made], names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
-    from maskforge.llm import bpe
+    from maskforge.llm import bpe, langid, near_dedup, toxicity
 
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_langid": langid.op5_langid,
         "pipeline": corpus_pipeline.run,
     }
 
