@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
-    from maskforge.llm import bpe, langid, near_dedup, toxicity
+    from maskforge.llm import bpe, langid, line_dedup, near_dedup, quality, secrets, toxicity, url_filter
 
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_langid": langid.op5_langid,
+        "op6_url_filter": url_filter.op6_url_filter,
+        "op8_quality": quality.op8_quality,
+        "op9_secrets": secrets.op9_secrets,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from maskforge.llm import line_dedup, quality, url_filter
+
+    return {
+        "op6_url_filter": url_filter.oracle(),
+        "op8_quality": quality.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+    }
