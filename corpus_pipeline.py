@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskforge.llm.bpe import stage_bpe
 from maskforge.llm.common import table, written
+from maskforge.llm.decontaminate import stage_decontaminate
+from maskforge.llm.line_dedup import stage_line_dedup
+from maskforge.llm.near_dedup import stage_near_dedup
+from maskforge.llm.toxicity import stage_toxicity
 
+#: All but the last return the columns of ``documents``; the last adds ids and n_tokens.
 STAGES = [
+    ("toxicity", stage_toxicity),
+    ("line_dedup", stage_line_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
     ("bpe", stage_bpe),
 ]
 
