@@ -114,14 +114,14 @@ def _by_grid(train: DataFrame, valid: DataFrame, masks: list[tuple[int, np.ndarr
     own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = valid.select("row_id", "features", "label", own.alias("v"), every.alias("t"))
-    right = train.select("row_id", "features", "label", every.alias("v"), own.alias("t"))
+    right = train.select(F.col("row_id").alias("id"), F.col("features").alias("x"), F.col("label").alias("c"), every.alias("rv"), own.alias("rt"))
     shared = train.sparkSession.sparkContext.broadcast(masks)
 
     def run(valid: pa.Table, train: pa.Table) -> pa.Table:
         columns: list[list] = [[], [], [], [], [], []]
         if valid.num_rows and train.num_rows:
-            train = train.sort_by("row_id")
-            ids, x, y = train["row_id"].to_numpy(), matrix(train["features"]), train["label"].to_numpy()
+            train = train.sort_by("id")
+            ids, x, y = train["id"].to_numpy(), matrix(train["x"]), train["c"].to_numpy()
             own = matrix(valid["features"])
             for cand, mask in shared.value:
                 d, place = nearest(own, x, ids, mask, k)
@@ -131,7 +131,7 @@ def _by_grid(train: DataFrame, valid: DataFrame, masks: list[tuple[int, np.ndarr
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("cand_id", "row_id", "y", "d", "id", "label"), columns, kinds, strict=True)})
 
-    near = left.groupBy("v", "t").cogroup(right.groupBy("v", "t")).applyInArrow(run, "cand_id long, row_id long, y long, d double, id long, label long")
+    near = left.groupBy("v", "t").cogroup(right.groupBy("rv", "rt")).applyInArrow(run, "cand_id long, row_id long, y long, d double, id long, label long")
     best = near.groupBy("cand_id", "row_id", "y").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "label"))), 1, k).alias("near"))  # k rows of each block
     return best.select("cand_id", "row_id", "y", majority(F.transform("near", lambda x: x["label"])).alias("p"))
 
