@@ -3,9 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
-DATA = "/root/testdata/sf0.001"
+from helpers import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,24 +35,3 @@ def duck():
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
-
-
-def plain(value):
-    import math
-
-    value = value.item() if hasattr(value, "item") else value
-    if value is None or isinstance(value, float) and math.isnan(value):
-        return None
-    if isinstance(value, (list, tuple)):
-        return tuple(plain(v) for v in value)
-    return value + 0.0 if isinstance(value, float) else value
-
-
-def assert_same(df, con, sql):
-    columns = sorted(df.columns)
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    assert sorted(names) == columns
-    expected = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
-    assert got == expected

@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, assert_same
+from helpers import DATA, assert_same
 
 from maskforge import registry
 
