@@ -181,10 +181,11 @@ class Index:
         back: dict[tuple[int, bytes], bytes] = {}
         taken: set[int] = set()
         for place, own, size in sorted(found, key=lambda f: (-weight[f[0] - f[1]], f)):
-            pairs = [(int(self.template.kind[own + j]), self.template.slot(own + j), template.slot(place + j)) for j in range(size) if self.template.kind[own + j] != LITERAL]
-            if all(to.get((kind, a), b) == b and back.get((kind, b), a) == a for kind, a, b in pairs):
-                to.update({(kind, a): b for kind, a, b in pairs})
-                back.update({(kind, b): a for kind, a, b in pairs})
+            pairs = {(int(self.template.kind[own + j]), self.template.slot(own + j), template.slot(place + j)) for j in range(size) if self.template.kind[own + j] != LITERAL}
+            there = to | {(kind, a): b for kind, a, b in pairs}
+            here = back | {(kind, b): a for kind, a, b in pairs}
+            if all(to.get((kind, a), b) == b == there[kind, a] and back.get((kind, b), a) == a == here[kind, b] for kind, a, b in pairs):
+                to, back = there, here
                 taken.update(range(own, own + size))
         return len(taken)
 
