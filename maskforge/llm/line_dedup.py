@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskforge.llm.common import table, written
-from maskforge.llm.quality import WHITE
+from maskforge.llm.quality import WHITE, let
 
 MIN_WORDS = 50
 #: A null doc_id as a number: after all others.
@@ -134,15 +134,16 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = removed_by_document(docs, min_words)
     keyed = docs.select("*", *key_of())
     split = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
+    kept = let(split, lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
     joined = keyed.join(removed, KEY, "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
     return joined.where(F.col("removed").isNull() | (F.translate("text", WHITE, "") != "")).select(*docs.columns)
 
 
 def runs_of(removed: Column) -> Column:
     """Deleted lines as ``first:count`` of each run."""
-    starts = F.filter(removed, lambda x: ~F.array_contains(removed, x - 1))
-    ends = F.filter(removed, lambda x: ~F.array_contains(removed, x + 1))
+    starts = F.filter(removed, lambda x, i: F.coalesce(F.get(removed, i - 1) != x - 1, F.lit(True)))
+    ends = F.filter(removed, lambda x, i: F.coalesce(F.get(removed, i + 1) != x + 1, F.lit(True)))
     return F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat_ws(":", a.cast("string"), (b - a + 1).cast("string"))), ",")
 
 
