@@ -42,7 +42,7 @@ CACHED_WORDS = 150_000
 ROWS_AT_ONCE = 256
 NEVER = 1 << 40
 #: Unicode White_Space, as \s in the pre-tokenizer.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-tokenizer's pattern: letters, contractions, numbers, others, spaces. Letters never start where a contraction does, so they may come first.
 PATTERN = rf" ?\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 WHITE = {*map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])}
