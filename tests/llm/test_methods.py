@@ -137,7 +137,7 @@ def test_toxicity_folds_and_finds_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.93
     assert toxicity.folded("Yоu 1D10T, ＬＯＳＥＲ!") == " you idiot loser "
     model = toxicity.Model({" idiot ": 5.0, " lose": 4.0}, [" no idiot "], (0.0, 1.0))
-    assert toxicity.matches(model.automaton(), toxicity.folded("no idiot here, a loser")) == {14: 4.0}
+    assert toxicity.matches(model.automaton(), toxicity.folded("no idiot here, a loser")) == {16: 4.0}
 
 
 def test_langid_held_out(spark):
