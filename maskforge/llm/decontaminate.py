@@ -1,6 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, names (capitalised words inside a
+Words are runs of letters, marks and digits of any script; what Unicode calls
+punctuation, symbols or space parts them. In scripts written without spaces
+(``SPACELESS``) each letter, with its marks, is a word. Words become template tokens: numbers, names (capitalised words inside a
 sentence) and units (after a number) become typed placeholders, other words
 their lower case. Windows of ``WINDOW`` template tokens with at least
 ``LITERALS`` literal words are hashed, and the documents' windows are joined with the benchmark's by hash.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,45 +44,74 @@ BROADCAST_WINDOWS = 2_000_000
 UNITS = ["mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "oz", "lb", "lbs", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "v", "w", "kw", "j", "kj", "n", "pa", "k", "c", "f", "percent", "dollars", "euros", "cents", "usd", "eur"]
 LITERAL, NUMBER, NAME, UNIT = range(4)
 _U = np.uint64
-_ALNUM = np.zeros(256, dtype=bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
-_END = np.zeros(256, dtype=bool)
-_END[[ord(c) for c in ".!?\n"]] = True
-_POINT = np.zeros(256, dtype=bool)
-_POINT[[ord("."), ord(",")]] = True
+#: Scripts written without spaces between words.
+SPACELESS = ["Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Tai_Viet", "Javanese", "Balinese"]
+#: Classes of characters, as bits: in a word, a word by itself, joined to the letter before it, digit, end of a sentence, point in a number.
+INSIDE, SINGLE, MARK, DIGIT, END, POINT = (1 << k for k in range(6))
+CLASSES = {
+    INSIDE: r"[\p{L}\p{M}\p{N}]+",
+    SINGLE: rf"(?V1)[[{''.join(rf'\p{{scx={name}}}' for name in SPACELESS)}]&&[\p{{L}}\p{{Nl}}\p{{No}}]]+",
+    MARK: r"\p{M}+",
+    DIGIT: r"\p{Nd}+",
+    END: r"[\p{Sentence_Terminal}\n]+",
+    POINT: r"[.,]+",
+}
 _PLACEHOLDER = mix(np.array([11, 22, 33, 44], dtype=_U))
 
 
+_classes: list[np.ndarray] = []
+
+
+def char_classes() -> np.ndarray:
+    """The classes of each code point."""
+    if not _classes:
+        every = "".join(map(chr, range(0x110000)))
+        table = np.zeros(len(every), dtype=np.uint8)
+        for bit, pattern in CLASSES.items():
+            for m in regex.finditer(pattern, every):
+                table[m.start() : m.end()] |= bit
+        _classes.append(table)
+    return _classes[0]
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    """Code points of texts with a line end between them."""
+    return np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
 class Template:
     """Template tokens of texts: hash, kind, text number and place of each."""
 
     def __init__(self, texts: list[str]):
-        low = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        raw = [r if len(r) == len(x) else x for r, x in zip(raw, low, strict=True)]  # letters whose case changes their length: no names there
+        low = [t.lower() for t in texts]
+        raw = [r if len(r) == len(x) else x for r, x in zip(texts, low, strict=True)]  # letters whose case changes their length: no names there
         # between texts stands a line end; pieces of bounded size are hashed one after another
-        self.data = b"\n".join(low)
-        buffer = np.frombuffer(self.data, dtype=np.uint8)
-        capital = buffer != np.frombuffer(b"\n".join(raw), dtype=np.uint8)
-        n = len(buffer)
-        inside = _ALNUM[buffer]
-        if n > 2:
-            digit = _DIGIT[buffer]
-            inside[1:-1] |= _POINT[buffer[1:-1]] & digit[:-2] & digit[2:]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-        self.start, self.end = edge[::2], edge[1::2]
-        value = self._hashes(buffer)
-        if not n:
+        self.data = code_points(low)
+        n = len(self.data)
+        classes = char_classes()[self.data]
+        inside = (classes & INSIDE) != 0
+        digit = (classes & DIGIT) != 0
+        inside[1:-1] |= ((classes[1:-1] & POINT) != 0) & digit[:-2] & digit[2:]
+        opens = inside & ~np.concatenate(([False], inside[:-1]))
+        closes = inside & ~np.concatenate((inside[1:], [False]))
+        single = (classes & SINGLE) != 0
+        if single.any():
+            mark = (classes & MARK) != 0
+            base = np.maximum.accumulate(np.where(mark, 0, np.arange(n)))
+            after = np.concatenate(([False], single[base][:-1])) & ~mark  # what follows a word of one letter
+            opens |= inside & (single | after)
+            closes[:-1] |= inside[:-1] & opens[1:]
+        self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        value = self._hashes(self.data)
+        if not len(value):
             self.value, self.kind, self.hash, self.text = value, np.empty(0, dtype=int), value, np.empty(0, dtype=int)
             return
         kind = np.zeros(len(value), dtype=np.int8)
-        first = capital[self.start] | (capital[np.minimum(self.start + 1, n - 1)] & (buffer[self.start] >= 0xC0))
-        stops = np.concatenate(([0], np.cumsum(_END[buffer])))
+        first = self.data[self.start] != code_points(raw)[self.start]
+        stops = np.concatenate(([0], np.cumsum((classes & END) != 0)))
         opened = np.ones(len(value), dtype=bool)  # true where a sentence begins
         opened[1:] = stops[self.start[1:]] > stops[self.end[:-1]]
-        number = _DIGIT[buffer[self.start]]
+        number = digit[self.start]
         kind[first & ~opened] = NAME
         kind[number] = NUMBER
         kind[1:][np.isin(value[1:], _unit_hashes()) & number[:-1] & ~opened[1:]] = UNIT
@@ -121,7 +153,7 @@ class Template:
         return at, made[at]
 
     def slot(self, token: int) -> bytes:
-        return self.data[self.start[token] : self.end[token]]
+        return self.data[self.start[token] : self.end[token]].tobytes()
 
 
 _units: list[np.ndarray] = []
@@ -207,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             slices.append([])
             filled = 0
         slices[-1].append((r[0], r[1]))
-        filled += r[1].count(" ") + 1
+        filled += r[1].count(" ") + 1 if r[1].isascii() else len(r[1])
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for some in slices:
         if some:

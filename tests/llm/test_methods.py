@@ -186,6 +186,29 @@ def test_inconsistent_slots():
     assert not index.leaks(["the sum of 1 and 2 and 3 is more than the half of 4 and some"])
 
 
+CHINESE = "小明有二十五个苹果，他给了小红七个苹果。请问小明现在还剩下多少个苹果？"
+THAI = "แม่ซื้อส้มมาจากตลาดแล้วแบ่งให้ลูกสามคนเท่ากัน ลูกแต่ละคนได้ส้มกี่ผล"
+CURLY = "the “tall” man’s old dog — the brown one — didn’t eat “any” of the food"
+
+
+@pytest.mark.parametrize("item,text,leaks", [
+    (CHINESE, CHINESE, True),
+    (CHINESE, f"这是一个文件。{CHINESE}答案在下面，", True),
+    (CHINESE, "今天天气很好，我们一起去公园散步，看到了很多美丽的花。", False),
+    (THAI, f"ข้อสอบ{THAI}ครับ", True),
+    ("東京の人口は1400万人で、大阪の人口は880万人です。", "問題：東京の人口は500万人で、大阪の人口は70万人です。以上", True),
+    (CURLY, CURLY.replace("“", '"').replace("”", '"').replace("’", "'").replace("—", "-"), True),
+    ("Él dijo: «¿Cuántas manzanas quedan en la caja roja del señor alto?»", 'él dijo "Cuántas manzanas quedan en la caja roja del señor alto"', True),
+])
+def test_templates_of_any_script(item, text, leaks):
+    assert bool(decontaminate.Index([(1, item)]).leaks(["other text", text])) == leaks
+
+
+def test_words_of_any_script():
+    template = decontaminate.Template(["Ab日本e\u0301x ๒๕ที่a 3.5"])
+    assert [template.slot(k).decode("utf-32-le") for k in range(len(template.start))] == ["ab", "日", "本", "e\u0301x", "๒๕", "ที่", "a", "3.5"]
+
+
 def test_decontamination_query(spark):
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     items = {r["item_id"]: plain(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
