@@ -9,8 +9,12 @@ their lower case. Windows of ``WINDOW`` template tokens with at least
 The values in the placeholders of matched windows must be consistent: each
 value of the item stands for one value in the document and the other way round,
 so a question with other numbers or names is still found, and windows that only
-look alike are not. A document leaks an item if the consistent windows cover at
-least ``SHARE`` of the item's tokens and ``LEAST`` of them (all, of shorter items).
+look alike are not. An item's first word, which begins a sentence there but maybe
+not in a document, is taken as a placeholder too. Beside the templates, windows
+of words in lower case are hashed as they are, whatever their kinds, so verbatim
+copies of numbers, names and tables are found. A document leaks an item if the
+consistent and the verbatim windows cover at least ``SHARE`` of the item's tokens
+and ``LEAST`` of them (all, of shorter items).
 
 The benchmark's window hashes are sent to the executors if they number at most
 ``BROADCAST_WINDOWS``, and the join is a lookup in one narrow pass over whole
@@ -18,7 +22,8 @@ texts; more are taken in slices of that size, a pass for each. Only matched
 windows leave the pass: (doc_id, item_id, places), never texts.
 
 Defined results: null and empty texts match nothing; items with fewer than
-``LITERALS`` literal words can't be told from chance and are ignored; items
+``LITERALS`` words can't be told from chance and are ignored, and items with fewer
+literal words are found only verbatim (in either case); items
 shorter than a window have one window of their own length. Rows that share a
 doc_id are judged one by one, and the largest share is returned.
 """
@@ -137,25 +142,42 @@ class Template:
                 done = upto
         return out
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of the windows that lie in one text and have enough literal words."""
+    def windows(self, size: int, opening: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of the windows that lie in one text and have enough literal words; ``opening`` counts a first name or unit as one."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.empty(0, dtype=int), np.empty(0, dtype=_U)
-        made = np.full(n, size, dtype=_U)
-        with np.errstate(over="ignore"):
-            for j in range(size):
-                made = (made ^ self.hash[j : j + n]) * _U(0x9E3779B97F4A7C15)
-                made ^= made >> _U(29)
         literal = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
-        good = (self.text[:n] == self.text[size - 1 :]) & (literal[size:] - literal[:n] >= min(LITERALS, size))
+        some = literal[size:] - literal[:n]
+        if opening:
+            some = some + ((self.kind[:n] == NAME) | (self.kind[:n] == UNIT))
+        good = (self.text[:n] == self.text[size - 1 :]) & (some >= min(LITERALS, size))
         at = np.flatnonzero(good)
-        return at, made[at]
+        return at, chained(self.hash, size)[at]
+
+    def verbatim(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of all windows that lie in one text, their words as they are."""
+        n = len(self.value) - size + 1
+        if n <= 0:
+            return np.empty(0, dtype=int), np.empty(0, dtype=_U)
+        at = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
+        return at, chained(self.value, size)[at]
 
     def slot(self, token: int) -> bytes:
         return self.data[self.start[token] : self.end[token]].tobytes()
 
 
+def chained(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window of ``size`` token hashes."""
+    n = len(tokens) - size + 1
+    made = np.full(n, size, dtype=_U)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            made = (made ^ tokens[j : j + n]) * _U(0x9E3779B97F4A7C15)
+            made ^= made >> _U(29)
+    return made
+
+
 _units: list[np.ndarray] = []
 
 
@@ -175,36 +197,63 @@ class Index:
         self.first = np.searchsorted(self.template.text, np.arange(len(items)))
         self.size = np.bincount(self.template.text, minlength=len(items)) if len(self.template.text) else np.zeros(len(items), dtype=int)
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.same: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.sizes = sorted({min(WINDOW, int(n)) for n in self.size if n >= LITERALS})
         for size in self.sizes:
-            places, hashes = self.template.windows(size)
-            for place, h in zip(places.tolist(), hashes.tolist(), strict=True):
-                item = int(self.template.text[place])
-                if size == WINDOW or self.size[item] == size:
-                    self.at[h].append((place, size))
-        self.known = np.zeros(1 << 20, dtype=bool)
-        if self.at:
-            self.known[np.array(list(self.at), dtype=_U) >> _U(44)] = True
+            self._enter(self.at, size, *self.template.windows(size))
+            self._enter(self.same, size, *self.template.verbatim(size))
+            self._enter(self.at, size, *self._openings(size))
+        self.known, self.known_same = _heads(self.at), _heads(self.same)
+
+    def _enter(self, into: dict[int, list[tuple[int, int]]], size: int, places: np.ndarray, hashes: np.ndarray) -> None:
+        for place, h in zip(places.tolist(), hashes.tolist(), strict=True):
+            if size == WINDOW or self.size[self.template.text[place]] == size:
+                into[h].append((place, size))
+
+    def _openings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The items' first windows with the first word as a name, and as a unit if it is one: what it can be inside a sentence."""
+        t = self.template
+        firsts = np.intersect1d(self.first[self.size >= size], t.windows(size)[0])
+        firsts = firsts[t.kind[firsts] == LITERAL]
+        places, hashes = [firsts[:0]], [np.empty(0, dtype=_U)]
+        for kind, some in ((NAME, firsts), (UNIT, firsts[np.isin(t.value[firsts], _unit_hashes())])):
+            for f in some:
+                tokens = t.hash[f : f + size].copy()
+                tokens[0] = _PLACEHOLDER[kind]
+                hashes.append(chained(tokens, size))
+            places.append(some)
+        return np.concatenate(places), np.concatenate(hashes)
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text number, item_id, covered tokens, item's tokens) of the leaks."""
         template = Template([t or "" for t in texts])
         met: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        same: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size in self.sizes:
-            places, hashes = template.windows(size)
+            places, hashes = template.windows(size, opening=True)
             maybe = self.known[hashes >> _U(44)]
             for place, h in zip(places[maybe].tolist(), hashes[maybe].tolist(), strict=True):
                 for own, own_size in self.at.get(h, ()):
-                    if own_size == size:
+                    if own_size == size and self._told(template, place, own, size):
                         met[int(template.text[place]), int(self.template.text[own])].append((place, own, size))
+            places, hashes = template.verbatim(size)
+            maybe = self.known_same[hashes >> _U(44)]
+            for text, h in set(zip(template.text[places[maybe]].tolist(), hashes[maybe].tolist(), strict=True)):
+                for own, own_size in self.same.get(h, ()):
+                    if own_size == size:
+                        same[text, int(self.template.text[own])].update(range(own, own + size))
         out = []
-        for (text, item), found in met.items():
-            covered, total = self.covered(template, found), int(self.size[item])
+        for text, item in met.keys() | same.keys():
+            covered, total = len(same[text, item] | self.covered(template, met[text, item])), int(self.size[item])
             if covered >= max(SHARE * total, min(LEAST, total)):
                 out.append((text, self.ids[item], covered, total))
         return out
 
-    def covered(self, template: Template, found: list[tuple[int, int, int]]) -> int:
+    def _told(self, template: Template, place: int, own: int, size: int) -> bool:
+        """Whether the window has enough literal words without its first one, or that one is the item's."""
+        return template.value[place] == self.template.value[own] or np.count_nonzero(template.kind[place : place + size] == LITERAL) >= min(LITERALS, size)
+
+    def covered(self, template: Template, found: list[tuple[int, int, int]]) -> set[int]:
         """Item tokens in the windows whose slots agree, the most frequent alignments first."""
         weight: dict[int, int] = defaultdict(int)
         for place, own, _ in found:
@@ -213,13 +262,22 @@ class Index:
         back: dict[tuple[int, bytes], bytes] = {}
         taken: set[int] = set()
         for place, own, size in sorted(found, key=lambda f: (-weight[f[0] - f[1]], f)):
-            pairs = {(int(self.template.kind[own + j]), self.template.slot(own + j), template.slot(place + j)) for j in range(size) if self.template.kind[own + j] != LITERAL}
+            # kinds as in the document: the item's first word may be another there
+            pairs = {(int(template.kind[place + j]), self.template.slot(own + j), template.slot(place + j)) for j in range(size) if template.kind[place + j] != LITERAL}
             there = to | {(kind, a): b for kind, a, b in pairs}
             here = back | {(kind, b): a for kind, a, b in pairs}
             if all(to.get((kind, a), b) == b == there[kind, a] and back.get((kind, b), a) == a == here[kind, b] for kind, a, b in pairs):
                 to, back = there, here
                 taken.update(range(own, own + size))
-        return len(taken)
+        return taken
+
+
+def _heads(at: dict[int, list[tuple[int, int]]]) -> np.ndarray:
+    """Whether some hash begins with these 20 bits."""
+    known = np.zeros(1 << 20, dtype=bool)
+    if at:
+        known[np.array(list(at), dtype=_U) >> _U(44)] = True
+    return known
 
 
 #: Characters of texts that are made into templates together.

@@ -204,6 +204,35 @@ def test_templates_of_any_script(item, text, leaks):
     assert bool(decontaminate.Index([(1, item)]).leaks(["other text", text])) == leaks
 
 
+NUMBERS = "Solve for x: 3x + 5 = 20"
+TABLE = "Oslo 12 Rome 31 Cairo 35 Lima 19 Quito 14 Delhi 40 Paris 22"
+FIVE = "How many balls does Tom Smith have 3"
+SHORT = "How many red balls does the box of Tom hold?"
+
+
+@pytest.mark.parametrize("item,text,leaks", [
+    (NUMBERS, f"Exercise 4. {NUMBERS}. Then check it.", True),
+    (NUMBERS, "Solve for y: 2y + 7 = 20", False),
+    (TABLE, f"temperatures today: {TABLE} and more", True),
+    (TABLE, "Oslo 12 Rome 31 Cairo 35 and more", False),
+    (TABLE, "Bonn 1 Kyiv 3 Accra 5 Doha 9 Seoul 4 Riga 0 Sofia 2", False),
+    (SHORT, f"Question: {SHORT}", True),
+    (SHORT, f"well, {SHORT}", True),
+    (SHORT, f"Question: {SHORT.replace('Tom', 'Ann')}", True),
+    ("Days of the week in which the shop stays open", "Question 5: Days of the week in which the shop stays open", True),
+    (SHORT, "Question: How many red balls does the box hold?", False),
+    (FIVE, "Question: How many balls does Ann Jones have 7", True),
+    (FIVE, "Question: Bob many balls does Ann Jones have 7", False),
+    ("one two", "one two", False),
+])
+def test_verbatim_and_openings(item, text, leaks):
+    assert bool(decontaminate.Index([(0, "some other item of words that are in no text"), (1, item)]).leaks(["other text", text])) == leaks
+
+
+def test_verbatim_windows_are_counted_once_a_text():
+    assert decontaminate.Index([(1, "0 " * 300)]).leaks(["0 " * 3000]) == [(0, 1, 300, 300)]
+
+
 def test_words_of_any_script():
     template = decontaminate.Template(["Ab日本e\u0301x ๒๕ที่a 3.5"])
     assert [template.slot(k).decode("utf-32-le") for k in range(len(template.start))] == ["ab", "日", "本", "e\u0301x", "๒๕", "ที่", "a", "3.5"]
