@@ -6,11 +6,12 @@ dictionary, and the language of the smallest sum is chosen. Where the two
 smallest are close, compression with matches of three bytes decides instead;
 where those are too close as well, the choice is marked as rejected.
 
-A dictionary is at most ``DICTIONARY_BYTES`` of whole texts, from at most
-``MAX_ROWS`` rows of a language, those of least hash that aren't held out; the
-``MAX_LANGUAGES`` most frequent languages are learned. Whole texts are judged, in
-pieces of ``PIECE`` characters so that a long text doesn't become its own
-dictionary. There is no shuffle over texts.
+A dictionary is at most ``DICTIONARY_BYTES`` of the words of whole texts, from at
+most ``MAX_ROWS`` rows of a language, those of least hash that aren't held out.
+Every language is learned; a task holds the dictionaries of ``LANGUAGES_AT_ONCE``
+and goes over its texts once for each such slice, keeping the two smallest sums.
+Whole texts are judged, in pieces of ``PIECE`` characters so that a long text
+doesn't become its own dictionary. There is no shuffle over texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 as are all texts if no language was learned.
@@ -18,7 +19,7 @@ as are all texts if no language was learned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -29,7 +30,9 @@ from pyspark.sql.types import StructType
 
 from maskforge.llm.common import held_out, table
 
-MAX_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 64
+#: Characters of texts that are judged together.
+TEXT_AT_ONCE = 1 << 22
 MAX_ROWS = 150
 DICTIONARY_BYTES = 96 << 10
 PIECE = 1500
@@ -45,21 +48,29 @@ LETTER = regex.compile(r"\p{L}")
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language, from rows with doc_id, text and lang."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return {}
     # of each language, a range of hashes that is expected to hold several times the rows wanted
     most = [(name, min((1 << 63) - 1, int(2**64 * min(1.0, 4 * MAX_ROWS / n)) - (1 << 63))) for name, n in counts.items()]
     near = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most long")), "lang").where("h <= most")
     chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= MAX_ROWS).select("doc_id", "lang", "k")
-    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "k", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect()
+    words = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "k", "text").mapInArrow(_words, "lang string, k long, words binary")
+    before = F.sum(F.length("words")).over(Window.partitionBy("lang").orderBy("k", "words").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = words.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < DICTIONARY_BYTES).drop("before").collect()
     content = {name: b"" for name in counts}  # the most frequent first, as ties go
-    for r in sorted(texts, key=lambda r: (r["lang"], r["k"], r["text"])):
-        if len(content[r["lang"]]) < DICTIONARY_BYTES:
-            content[r["lang"]] += words_only(r["text"])
+    for r in sorted(wanted, key=lambda r: (r["lang"], r["k"], r["words"])):
+        content[r["lang"]] += r["words"]
     return {name: data[:DICTIONARY_BYTES] for name, data in content.items() if len(data) > 8}
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of whole texts, as much as a dictionary holds."""
+    for batch in batches:
+        words = [words_only(t)[:DICTIONARY_BYTES] for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(words, pa.binary())], names=["lang", "k", "words"])
+
+
 class Letters(dict):
     """Translation of each character that is no letter to a space."""
 
@@ -75,32 +86,53 @@ def words_only(text: str) -> bytes:
     return f" {' '.join(text.lower().translate(_letters).split())} ".encode("utf-8", "replace")
 
 
+def fast(data: bytes) -> zstandard.ZstdCompressor:
+    dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+
+
+def close(data: bytes) -> zstandard.ZstdCompressor:
+    dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    short = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTULTRA, min_match=3, search_log=6, window_log=18, chain_log=18, hash_log=17, write_content_size=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=short)
+
+
 class Judge:
     def __init__(self, content: dict[str, bytes]):
-        self.fast, self.close = {}, {}
-        for name, data in content.items():
-            dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            short = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTULTRA, min_match=3, search_log=6, window_log=18, chain_log=18, hash_log=17, write_content_size=False, write_dict_id=False)
-            self.close[name] = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=short)
-            fast = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            fast.precompute_compress(level=LEVEL)
-            self.fast[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=fast, write_content_size=False, write_dict_id=False)
+        ranked = [(k, name, data) for k, (name, data) in enumerate(content.items())]
+        self.slices = [ranked[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(ranked), LANGUAGES_AT_ONCE)]
+        self.made: dict[tuple[int, Callable], list[tuple[int, str, zstandard.ZstdCompressor]]] = {}
+
+    def compressors(self, part: int, make: Callable[[bytes], zstandard.ZstdCompressor]) -> list[tuple[int, str, zstandard.ZstdCompressor]]:
+        """Those of one slice; only a single slice's are kept."""
+        if (part, make) not in self.made:
+            if len(self.slices) > 1:
+                self.made.clear()
+            self.made[part, make] = [(k, name, make(data)) for k, name, data in self.slices[part]]
+        return self.made[part, make]
+
+    def best(self, words: list[bytes], make: Callable[[bytes], zstandard.ZstdCompressor]) -> list[tuple[str, float]]:
+        """Language and score of each: by what share the best sum is smaller than the second."""
+        least: list[list[tuple[int, int, str]]] = [[] for _ in words]
+        for part in range(len(self.slices) if words else 0):
+            made = self.compressors(part, make)
+            for i, data in enumerate(words):
+                pieces = [data[j : j + PIECE] for j in range(0, len(data), PIECE)]
+                least[i] = sorted(least[i] + [(sum(len(c.compress(p)) for p in pieces), k, name) for k, name, c in made])[:2]
+        return [(sums[0][2], (sums[1][0] - sums[0][0]) / sums[1][0] if len(sums) > 1 else 1.0) for sums in least]
+
+    def judged(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        words = {i: words_only(t) for i, t in enumerate(texts) if t and self.slices and LETTER.search(t)}
+        for make in (fast, close):
+            for i, found in zip(words, self.best(list(words.values()), make), strict=True):
+                out[i] = found
+            words = {i: data for i, data in words.items() if out[i][1] < CLOSE}
+        return out
 
     def judge(self, text: str | None) -> tuple[str, float]:
-        """Language and score: by what share the best sum is smaller than the second."""
-        if not text or not self.fast or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        data = words_only(text)
-        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        name, score = best(self.fast, pieces)
-        return best(self.close, pieces) if score < CLOSE else (name, score)
-
-
-def best(compressors: dict[str, zstandard.ZstdCompressor], pieces: list[bytes]) -> tuple[str, float]:
-    sums = sorted((sum(len(c.compress(p)) for p in pieces), k, name) for k, (name, c) in enumerate(compressors.items()))
-    if len(sums) == 1:
-        return sums[0][2], 1.0
-    return sums[0][2], (sums[1][0] - sums[0][0]) / sums[1][0]
+        return self.judged([text])[0]
 
 
 def identified(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
@@ -113,7 +145,14 @@ def identified(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            found = [judge.judge(t) for t in batch.column(at).to_pylist()]
+            texts, found = batch.column(at).to_pylist(), []
+            while len(found) < len(texts):
+                first = upto = len(found)
+                size = 0
+                while upto < len(texts) and (upto == first or size < TEXT_AT_ONCE):
+                    size += len(texts[upto] or "")
+                    upto += 1
+                found += judge.judged(texts[first:upto])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[1] < MARGIN for f in found], pa.bool_())], names=names)
 
     return kept.mapInArrow(run, schema)

@@ -148,6 +148,29 @@ def test_langid_held_out(spark):
     assert langid.Judge({"a": b"some words of one language " * 40}).judge("12 34!") == ("und", 0.0)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=50)), f"l{k:02d}") for i in range(12 if k < 64 else 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = langid.learn(docs)
+    assert len(content) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs, content).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    texts = [t for _, t, _ in rows[::9]] + [None, "12", f"{rows[0][1]} {rows[-1][1]}"]
+    sliced = langid.Judge(content).judged(texts)
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 100)
+    assert langid.Judge(content).judged(texts) == sliced
+
+
+def test_whole_texts_are_learned(spark):
+    late = "1 " * langid.DICTIONARY_BYTES + "words that stand late in a text"
+    docs = spark.createDataFrame([(i, late, "en") for i in range(4)], "doc_id long, text string, lang string")
+    assert b"words that stand late" in langid.learn(docs).get("en", b"")
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.text("abc.", min_size=1, max_size=6), max_size=40), st.sets(st.text("abcd.", min_size=1, max_size=6), max_size=200))
 def test_cascade_is_exact(listed, others):
