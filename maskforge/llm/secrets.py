@@ -1,25 +1,34 @@
 """Secrets: patterns, and a battery of randomness tests for strings that no pattern knows.
 
-A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_=-]``
-with a digit that overlaps no pattern's span. Its encoding is inferred from its
-characters (hexadecimal, base 32, letters and digits, base 64), and three tests
-ask whether it can be uniform over that alphabet: chi-squared over the
-characters and over their classes, a runs test above and below the alphabet's
-middle, and lag-one serial correlation. The smallest of the p-values, times their
-number, is the candidate's p. Words, names and paths get p near 0;
-random strings get p spread evenly over 0 to 1.
-
-How small a p may be is set for each class of length (doublings), from the
+A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]``,
+with the ``=`` that pad it, wherever it stands: a pattern's span doesn't hide it,
+nor does a match that a pattern drops. Its encoding is inferred from its characters
+(hexadecimal, base 32, letters and digits, base 64), and four tests ask whether
+it can be uniform over that alphabet: chi-squared over the characters and over
+their classes, a runs test above and below the alphabet's middle, and lag-one
+serial correlation. The candidate's p comes from the least of the four (Sidak).
+Words, names and paths get p near 0; random strings get p spread over 0 to 1.
+
+How small a p may be is set for each encoding and class of length (doublings), from the
 counts of all documents: the share of p above ``LAMBDA`` estimates how many
 candidates are random, and the smallest p of ``GRID`` is taken at which at most
-``FDR`` of the accepted ones are expected not to be. The counts are one row for
-each length class and grid step.
+``FDR`` of the accepted ones are expected not to be. ``PRIOR`` random candidates
+are added to each count, so that the same rule holds for few candidates as for many.
+The counts are one row for each encoding and length class.
+
+``LEAST`` is the shortest length at which a capitalised word gets a p under the
+least of ``GRID`` from its classes alone. So a run of one class of characters,
+or one capital before small letters, can't be accepted; the pattern of the
+candidates leaves such runs out, which changes no result.
 
 All is built-in functions: one pass over the texts, whose spans are written, and
 one over the spans. Places are code points, ends exclusive.
 
-Defined results: null and empty texts have no spans; two candidates never
-overlap; a pattern's match that is too short is dropped, with what it covers.
+Defined results: null and empty texts have no spans; a pattern's match that is
+too short is dropped; candidates never overlap each other, but may lie in a pattern's
+span. Each row is judged by itself, so equal rows have equal spans; a table
+without rows gives none. Input columns named as results (n_assign, n_access,
+n_hex, base_spans, spans) give way.
 """
 
 from __future__ import annotations
@@ -30,12 +39,12 @@ from pyspark.sql import functions as F
 from maskforge.llm.common import table, written
 from maskforge.llm.quality import let
 
-LEAST = 20
+LEAST = 12
 FDR = 0.1
 LAMBDA = 0.5
-GRID = [0.001, 0.01, 0.05, 0.1, 0.2, 0.4]
-#: Without enough candidates of a length to estimate, this p is asked for.
-USUAL, ENOUGH = 0.01, 20
+GRID = [0.01, 0.02, 0.05, 0.1, 0.2, 0.4]
+PRIOR = 20
+TESTS = 4
 #: The patterns, the group whose length counts, and its least length; letters of the names in either case.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -44,7 +53,8 @@ KINDS = [
 ]
 #: Words of which one stands in any text that the first pattern matches, in lower case.
 NAMES = ["password", "passwd", "secret", "token", "apikey", "api_key"]
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}+"
+RUN = "[A-Za-z0-9+/_-]"
+CANDIDATE = rf"(?<!{RUN})(?!(?:[A-Z]?[a-z]+|[A-Z]+|[0-9+/_-]+)(?!{RUN})){RUN}{{{LEAST},}}+={{0,2}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SPAN = "struct<start:int,kind_no:int,kind:string,end:int>"
 NO_SPANS = f"array<{SPAN}>"
@@ -94,9 +104,13 @@ def chi_tail(value: Column, freedom: Column) -> Column:
     return upper_tail((F.pow(value / f, 1 / 3) - (1 - 2 / (9 * f))) / F.sqrt(2 / (9 * f)))
 
 
-def randomness(token: Column) -> Column:
+def encoding_of(token: Column) -> Column:
+    """Size of the smallest usual alphabet that has the characters; a candidate has characters of two classes, so hexadecimal and base 32 have digits and letters."""
+    return F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)=*$"), 16).when(token.rlike("^[A-Z2-7]+=*$"), 32).when(token.rlike("^[A-Za-z0-9]+=*$"), 62).otherwise(64)
+
+
+def randomness(token: Column, encoding: Column) -> Column:
     """p of the battery for one token."""
-    encoding = F.when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), 16).when(token.rlike("^[A-Z2-7]+=*$"), 32).when(token.rlike("^[A-Za-z0-9]+$"), 62).otherwise(64)
     plain = F.translate(F.translate(token, "-_", "+/"), "=", "")
     return let(F.struct(encoding.alias("e"), F.when(encoding == 16, F.lower(plain)).otherwise(plain).alias("t")), lambda x: battery(x["t"], x["e"]))
 
@@ -136,42 +150,46 @@ def battery(plain: Column, encoding: Column) -> Column:
         square = F.greatest(total(F.transform(off, lambda x: x * x)), F.lit(1e-9))
         return 2 * upper_tail(F.abs(lagged / square * F.sqrt(n)))
 
-    p = 4 * F.least(uniform, by_class, let(high, runs), let(codes, serial))
-    return F.when(n < LEAST - 2, F.lit(0.0)).otherwise(F.least(F.lit(1.0), p))
+    least = F.least(uniform, by_class, let(high, runs), let(codes, serial), F.lit(1.0))
+    return 1 - F.pow(1 - least, F.lit(float(TESTS)))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """(start, end, p) of each candidate that overlaps no span of ``base``."""
+def candidates(text: Column) -> Column:
+    """(start, end, encoding, p) of each candidate."""
 
     def made(m: Column) -> Column:
-        placed = F.zip_with(starts_of(text, CANDIDATE, m), m, lambda s, x: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("token")))
-        free = F.filter(placed, lambda c: c["token"].rlike("[0-9]") & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["token"]).alias("p")))
+        placed = F.zip_with(starts_of(text, CANDIDATE, m), m, lambda s, x: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), encoding_of(x).alias("encoding"), x.alias("token")))
+        return F.transform(placed, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), randomness(c["token"], c["encoding"]).alias("p")))
 
-    kind = "array<struct<start:int,end:int,p:double>>"
-    return F.when(text.rlike(CANDIDATE), let(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), made)).otherwise(F.array().cast(kind)).cast(kind)
+    kind = "array<struct<start:int,end:int,encoding:int,p:double>>"
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), 0)
+    return let(found, lambda m: F.when(F.size(m) > 0, made(m))).cast(kind)
 
 
 def length_class(c: Column) -> Column:
     return F.floor(F.log2((c["end"] - c["start"]).cast("double"))).cast("int")
 
 
-def least_p(tried: DataFrame) -> dict[int, float]:
-    """The p that a candidate of each length class needs, from all candidates."""
-    found = tried.select(F.explode("tried").alias("c")).select(length_class(F.col("c")).alias("size"), F.col("c.p").alias("p"))
+def least_p(tried: DataFrame) -> dict[tuple[int, int], float]:
+    """The p that a candidate of each encoding and length class needs, from all candidates."""
+    found = tried.select(F.explode("tried").alias("c")).select(F.col("c.encoding").alias("encoding"), length_class(F.col("c")).alias("size"), F.col("c.p").alias("p"))
     sums = [F.sum((F.col("p") >= g).cast("int")).alias(f"g{k}") for k, g in enumerate(GRID)]
     out = {}
-    for r in found.groupBy("size").agg(F.sum((F.col("p") > LAMBDA).cast("int")).alias("above"), *sums).collect():
-        random = r["above"] / (1 - LAMBDA)
-        passing = [(g, r[f"g{k}"]) for k, g in enumerate(GRID)]
-        if r["g0"] < ENOUGH:
-            out[r["size"]] = USUAL
-            continue
-        good = [g for g, n in passing if n and 1 - min(1.0, random * (1 - g) / n) <= FDR]
-        out[r["size"]] = good[0] if good else 2.0
+    for r in found.groupBy("encoding", "size").agg(F.sum((F.col("p") > LAMBDA).cast("int")).alias("above"), *sums).collect():
+        out[r["encoding"], r["size"]] = strictest(r["above"], [r[f"g{k}"] for k in range(len(GRID))])
     return out
 
 
+def strictest(above: int, passing: list[int]) -> float:
+    """The least p of the grid whose accepted candidates are random but for ``FDR``, else the largest; from the numbers above ``LAMBDA`` and above each p of the grid."""
+    random = above / (1 - LAMBDA) + PRIOR
+    for g, n in zip(GRID, passing, strict=True):
+        accepted = n + PRIOR * (1 - g)
+        if 1 - min(1.0, random * (1 - g) / accepted) <= FDR:
+            return g
+    return GRID[-1]
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, base_spans and spans, both arrays by start, then kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -180,21 +198,22 @@ def scanned(docs: DataFrame) -> DataFrame:
     for name in NAMES:
         maybe = maybe | named.contains(name)
     none = F.array().cast(NO_SPANS)
-    made = docs.withColumn("_base", F.array_sort(F.concat(F.when(maybe, spans_of(text, 0)).otherwise(none), F.when(text.contains("AKIA"), spans_of(text, 1)).otherwise(none), spans_of(text, 2))))
-    made = made.withColumn("tried", candidates(text, F.col("_base")))
+    made = docs.drop("n_assign", "n_access", "n_hex", "base_spans", "spans").withColumn("_base", F.array_sort(F.concat(F.when(maybe, spans_of(text, 0)).otherwise(none), F.when(text.contains("AKIA"), spans_of(text, 1)).otherwise(none), spans_of(text, 2))))
+    made = made.withColumn("_tried", candidates(text))
     made = written(made.drop("text"), "spans")
-    needed = least_p(made)
+    needed = least_p(made.select(F.col("_tried").alias("tried")))
 
     def asked(c: Column) -> Column:
-        out = F.lit(USUAL)
-        for size, p in needed.items():
-            out = F.when(length_class(c) == size, F.lit(p)).otherwise(out)
+        out = F.lit(GRID[-1])
+        for (encoding, size), p in needed.items():
+            out = F.when((c["encoding"] == encoding) & (length_class(c) == size), F.lit(p)).otherwise(out)
         return out
 
-    more = F.transform(F.filter("tried", lambda c: c["p"] >= asked(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(RANDOM_NO).alias("kind_no"), F.lit("random").alias("kind"), c["end"].alias("end")).cast(SPAN))
+    tried = F.coalesce("_tried", F.array().cast("array<struct<start:int,end:int,encoding:int,p:double>>"))
+    more = F.transform(F.filter(tried, lambda c: c["p"] >= asked(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(RANDOM_NO).alias("kind_no"), F.lit("random").alias("kind"), c["end"].alias("end")).cast(SPAN))
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind_no"] == k)).cast("long")
     made = made.withColumns({f"n_{KINDS[k][0]}": count(k) for k in range(len(KINDS))})
-    return made.withColumn("spans", F.array_sort(F.concat("_base", more))).withColumnRenamed("_base", "base_spans").drop("tried")
+    return made.withColumn("spans", F.array_sort(F.concat("_base", more))).withColumnRenamed("_base", "base_spans").drop("_tried")
 
 
 def joined(spans: Column) -> Column:
