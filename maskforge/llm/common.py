@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: Every fifth document by checksum is held out; models learn from the others only.
 FOLDS = 5
+#: Tables of at most so many rows, which are narrow (keys and numbers), are sent to every task.
+BROADCAST_ROWS = 500_000
+#: A key of a join that more rows bear than this is not left to one task.
+HEAVY_ROWS = 10_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -35,6 +39,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be sent to every task if it has at most ``rows`` rows; counted first, so give a written one."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def joined_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join with a written table of unique keys that has in ``n`` how many of ``rows`` bear each key (n gives way).
+
+    A small table is sent to every task. Of a larger one only the heaviest keys
+    are, so that no hot key lands in one task; the others are joined by a shuffle, at most
+    ``heavy`` rows a key. Keys must not be null.
+    """
+    if keyed.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed.drop(n)), on)
+    heavy = HEAVY_ROWS
+    while (top := keyed.where(F.col(n) > heavy)).count() > BROADCAST_ROWS:
+        heavy *= 2
+    light = rows.join(F.broadcast(top.select(*on)), on, "left_anti").join(keyed.where(F.col(n) <= heavy).drop(n), on)
+    return rows.join(F.broadcast(top.drop(n)), on).unionByName(light)
+
+
 def held_out(doc_id: Column) -> Column:
     """True if crc32 of the id as text is divisible by ``FOLDS``; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

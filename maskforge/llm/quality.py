@@ -4,13 +4,15 @@ Lines are normalised (lower case, digits as 0, white space as one space) and
 hashed; a line that stands in more documents of a host than ``greatest(
 MIN_DOCUMENTS, MAX_SHARE of the host's documents)`` is removed, and a document
 that loses more than ``MAX_LOST`` of its words is rejected. A document's host is
-its source. Everything is built-in functions: one narrow pass over the texts for the
-counts and one for the lines, grouped sums with partial aggregation, and joins
-of hashes on (host, line) and on the row's key; texts are not shuffled.
+its source. Everything is built-in functions: one narrow pass over the texts, which
+writes the counts and the hashes of the lines, then grouped sums with partial
+aggregation and a join of hashes on (host, line), whose hot keys are sent to the
+tasks; texts are not shuffled.
 
 Defined results: null text has no words; a null source is a host of its own;
-each row counts as a document; rows that are equal in doc_id, source and text
-share a verdict. Lines without a word are never removed.
+each row counts as a document and is judged by itself, repeated ones too. Lines
+without a word are never removed. A table without rows gives none. Other columns
+than doc_id, text and source are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import table, written
+from maskforge.llm.common import hinted, joined_by_weight, table, written
 
 MIN_DOCUMENTS = 10
 MAX_SHARE = 0.01
@@ -66,23 +68,25 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(hashed, counted)).otherwise(0).cast("long")
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, _row, host, the base counts, base_failed, and lines (hash and number of words) of each row, from one pass over the texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), has_word)
     counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    made = docs.withColumn("_counts", counts)
-    made = made.withColumns(
-        {
-            "n_words": F.col("_counts.n_words"),
-            "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.col("_counts.n_repeat_words"),
-        }
-    ).drop("_counts")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return made.withColumn("base_failed", failed)
+    parts = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.transform(x, lambda one: F.struct(F.xxhash64(normalised(one)).alias("line"), F.size(words_of(one)).alias("words"))).alias("lines")))
+    made = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), host_of().alias("host"), text.alias("_text"), counts.alias("_counts"), parts.alias("_parts"))
+    made = made.select(
+        "doc_id",
+        "_row",
+        "host",
+        F.col("_counts.n_words").alias("n_words"),
+        F.length(F.translate("_text", WHITE, "")).cast("long").alias("word_chars"),
+        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("_parts.n_dup_lines").alias("n_dup_lines"),
+        F.col("_counts.n_repeat_words").alias("n_repeat_words"),
+        F.col("_parts.lines").alias("lines"),
+    )
+    return made.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def normalised(line: Column) -> Column:
@@ -90,33 +94,26 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(plain, SPACES, " "))
 
 
-def lost_shares(docs: DataFrame) -> DataFrame:
-    """Share of each row's words that stands in removed lines, by the row's key (_id, host, _text)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = F.transform(F.filter(F.split(text, "\n", -1), has_word), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words_of(x)).alias("words")))
-    rows = docs.select(*key_of(), hashed.alias("lines"))
-    lines = written(rows.select("_id", "host", "_text", F.posexplode("lines").alias("k", "x")).select("_id", "host", "_text", "x.line", "x.words"), "lines")
-    hosts = docs.groupBy(host_of().alias("host")).agg(F.count("*").alias("documents"))
+def lost_words(rows: DataFrame) -> DataFrame:
+    """_row and the number of its words that stand in removed lines, of the rows (written) that lose any."""
+    hosts = rows.groupBy("host").agg(F.count("*").alias("documents"))
     first = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     often = first.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > MIN_DOCUMENTS).join(hosts, "host").where(F.col("n") > MAX_SHARE * F.col("documents"))
-    marked = lines.join(often.select("host", "line", F.lit(1).alias("often")), ["host", "line"], "left")
-    return marked.groupBy("_id", "host", "_text").agg((F.sum(F.col("words") * F.coalesce("often", F.lit(0))) / F.sum("words")).alias("lost"))
+    often = written(often.select("host", "line", "n"), "often")
+    lines = rows.select("_row", "host", F.explode("lines").alias("x")).select("_row", "host", "x.line", "x.words")
+    return joined_by_weight(lines, often, ["host", "line"]).groupBy("_row").agg(F.sum("words").alias("lost"))
 
 
 def host_of() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit("\0"))
 
 
-def key_of() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), host_of().alias("host"), F.xxhash64(F.col("text").cast("string")).alias("_text")]
-
-
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, lost (share of words in removed lines) and kept."""
-    narrow = base_counts(docs.select("doc_id", "text", *key_of())).drop("text")
-    both = narrow.join(lost_shares(docs), ["_id", "host", "_text"], "left")
-    lost = F.coalesce("lost", F.lit(0.0))
-    return both.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST)).drop("_id", "host", "_text")
+    rows = written(measured(docs), "measured")
+    lost = hinted(written(lost_words(rows), "lost"))
+    both = rows.drop("lines").join(lost, "_row", "left").withColumn("lost", F.when(F.col("lost") > 0, F.col("lost") / F.col("n_words")).otherwise(0.0))
+    return both.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MAX_LOST)).drop("_row", "host")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
