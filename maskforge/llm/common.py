@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: Tables of at most so many rows, which are narrow (keys and numbers), are sent to every task.
 BROADCAST_ROWS = 500_000
+#: Bytes of texts of an Arrow batch that become Python strings together.
+TEXT_BYTES = 4 << 20
 #: A key of a join that more rows bear than this is not left to one task.
 HEAVY_ROWS = 10_000
 
@@ -39,9 +45,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be sent to every task if it has at most ``rows`` rows; counted first, so give a written one."""
-    return F.broadcast(df) if df.count() <= rows else df
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in column ``at`` have about ``TEXT_BYTES`` together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    first = 0
+    while first < batch.num_rows:
+        upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TEXT_BYTES, side="right")))
+        yield batch.slice(first, upto - first)
+        first = upto
+
+
+def hinted(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` to be sent to every task if it has at most ``BROADCAST_ROWS`` rows, a row counting ``weight`` (default 1); counted first, so give a written one."""
+    size = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 def joined_by_weight(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n") -> DataFrame:

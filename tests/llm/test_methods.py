@@ -187,34 +187,35 @@ def test_url_slices(spark, monkeypatch):
     assert got == {i: "block" if i % 5 == 3 or i % 37 < 10 and i % 5 == (i % 37) % 5 else "allow" for i in range(200)}
 
 
-QUESTION = "If John Smith has 25 apples and gives 7 kg of apples to Mary Jones, how many apples does the tall man keep after lunch today?"
-
-
-@pytest.mark.parametrize("text,leaks", [
-    (QUESTION, True),
-    (f"words before it {QUESTION} and after", True),
-    (QUESTION.replace("John Smith", "Ada Kent").replace("25", "13").replace("7 kg", "9 lb").replace("Mary Jones", "Zoe Hill"), True),
-    (QUESTION.lower(), True),
-    ("how many apples does the other one want, and does the tall man keep them", False),
-    ("gives of the to and " * 20, False),
-])
-def test_templates(text, leaks):
-    assert bool(decontaminate.Index([(1, QUESTION)]).leaks([text])) == leaks
-
-
-def test_inconsistent_slots():
-    item = "the sum of 12 and 12 and 40 is more than the half of 12 and some"
-    index = decontaminate.Index([(1, item)])
-    assert index.leaks([item.replace("12", "5").replace("40", "8")])
-    assert not index.leaks(["the sum of 1 and 2 and 3 is more than the half of 4 and some"])
+def leaking(spark, cases):
+    """(case number, covered, n_tokens) of the cases (item, text) whose text leaks its own item; all cases stand in one table."""
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(cases)], "item_id long, text string")
+    return {r["doc_id"]: (r["covered"], r["n_tokens"]) for r in decontaminate.leaks(docs, items).where("doc_id = item_id").collect()}
 
 
+QUESTION = "If John Smith has 25 apples and gives 7 kg of apples to Mary Jones, how many apples does the tall man keep after lunch today?"
+OTHER = QUESTION.replace("John Smith", "Ada Kent").replace("25", "13").replace("7 kg", "9 lb").replace("Mary Jones", "Zoe Hill")
+SUM = "the sum of 12 and 12 and 40 is more than the half of 12 and some"
+ARITHMETIC = "What is 12 * 7 + 3 - 4 and then 5 / 6 of 30?"
 CHINESE = "小明有二十五个苹果，他给了小红七个苹果。请问小明现在还剩下多少个苹果？"
 THAI = "แม่ซื้อส้มมาจากตลาดแล้วแบ่งให้ลูกสามคนเท่ากัน ลูกแต่ละคนได้ส้มกี่ผล"
 CURLY = "the “tall” man’s old dog — the brown one — didn’t eat “any” of the food"
-
-
-@pytest.mark.parametrize("item,text,leaks", [
+NUMBERS = "Solve for x: 3x + 5 = 20"
+TABLE = "Oslo 12 Rome 31 Cairo 35 Lima 19 Quito 14 Delhi 40 Paris 22"
+FIVE = "How many balls does Tom Smith have 3"
+SHORT = "How many red balls does the box of Tom hold?"
+LEAKS = [
+    (QUESTION, QUESTION, True),
+    (QUESTION, f"words before it {QUESTION} and after", True),
+    (QUESTION, OTHER, True),
+    (QUESTION, f"{OTHER} {QUESTION.replace('25', '80')} {OTHER.replace('13', '99').replace('Ada Kent', 'Kim Lee')}", True),
+    (QUESTION, QUESTION.lower(), True),
+    (QUESTION, "how many apples does the other one want, and does the tall man keep them", False),
+    (QUESTION, "gives of the to and " * 20, False),
+    (SUM, SUM.replace("12", "5").replace("40", "8"), True),
+    (SUM, "the sum of 1 and 2 and 3 is more than the half of 4 and some", False),
+    (ARITHMETIC, f"Exercise: {ARITHMETIC} Work it out.", True),
     (CHINESE, CHINESE, True),
     (CHINESE, f"这是一个文件。{CHINESE}答案在下面，", True),
     (CHINESE, "今天天气很好，我们一起去公园散步，看到了很多美丽的花。", False),
@@ -222,18 +223,6 @@ CURLY = "the “tall” man’s old dog — the brown one — didn’t eat “an
     ("東京の人口は1400万人で、大阪の人口は880万人です。", "問題：東京の人口は500万人で、大阪の人口は70万人です。以上", True),
     (CURLY, CURLY.replace("“", '"').replace("”", '"').replace("’", "'").replace("—", "-"), True),
     ("Él dijo: «¿Cuántas manzanas quedan en la caja roja del señor alto?»", 'él dijo "Cuántas manzanas quedan en la caja roja del señor alto"', True),
-])
-def test_templates_of_any_script(item, text, leaks):
-    assert bool(decontaminate.Index([(1, item)]).leaks(["other text", text])) == leaks
-
-
-NUMBERS = "Solve for x: 3x + 5 = 20"
-TABLE = "Oslo 12 Rome 31 Cairo 35 Lima 19 Quito 14 Delhi 40 Paris 22"
-FIVE = "How many balls does Tom Smith have 3"
-SHORT = "How many red balls does the box of Tom hold?"
-
-
-@pytest.mark.parametrize("item,text,leaks", [
     (NUMBERS, f"Exercise 4. {NUMBERS}. Then check it.", True),
     (NUMBERS, "Solve for y: 2y + 7 = 20", False),
     (TABLE, f"temperatures today: {TABLE} and more", True),
@@ -247,18 +236,52 @@ SHORT = "How many red balls does the box of Tom hold?"
     (FIVE, "Question: How many balls does Ann Jones have 7", True),
     (FIVE, "Question: Bob many balls does Ann Jones have 7", False),
     ("one two", "one two", False),
-])
-def test_verbatim_and_openings(item, text, leaks):
-    assert bool(decontaminate.Index([(0, "some other item of words that are in no text"), (1, item)]).leaks(["other text", text])) == leaks
+]
+
+
+def test_templates(spark):
+    found = leaking(spark, [c[:2] for c in LEAKS])
+    assert [c for i, c in enumerate(LEAKS) if (i in found) != c[2]] == []
+
+
+def test_verbatim_windows_are_counted_once_a_text(spark):
+    assert leaking(spark, [("0 " * 300, "0 " * 3000)]) == {0: (300, 300)}
+
+
+def test_reparameterised_by_brute_force(spark):
+    """Questions with other names, numbers and units, against a search for any one-to-one renaming of the values."""
+    rng = random.Random(6)
+    names, verbs, things = ["Ann", "Bob", "Cid", "Dora", "Eve", "Finn"], ["sells", "buys", "finds", "loses"], ["pears", "books", "stones", "cards"]
+
+    def question(who, a, b, unit, order):
+        body = [f"In the morning {who[0]} {verbs[order[0]]} {a} {unit} of {things[order[1]]}", f"later the friend {who[1]} {verbs[order[2]]} {b} {things[order[3]]}", f"so how much does {who[0]} still have when {who[1]} goes home"]
+        return f"{body[0]} and {body[1]}, {body[2]}?"
+
+    orders = [tuple(rng.randrange(4) for _ in range(4)) for _ in range(8)]
+    draw = lambda order: question(rng.sample(names, 2), *rng.sample(range(2, 90), 2), rng.choice(["kg", "lb", "tons"]), order)
+    items = [draw(o) for o in dict.fromkeys(orders)]
+    docs = [f"some words before it. {draw(o)} and words after" for o in orders for _ in range(3)] + ["nothing of the kind is said here at all, " * 5]
+    pattern = [re.compile("^.*" + re.sub(r"(?:Ann|Bob|Cid|Dora|Eve|Finn)", "NAME", re.sub(r"\d+", "NUM", re.sub(r"kg|lb|tons", "UNIT", i))).replace("?", ".").replace("NAME", r"([A-Z]\w+)").replace("NUM", r"(\d+)").replace("UNIT", r"(kg|lb|tons)")) for i in items]
+    expected = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            a, b = pattern[i].match(doc), pattern[i].match(item)
+            if a and len(set(zip(a.groups(), b.groups(), strict=True))) == len(set(a.groups())) == len(set(b.groups())):
+                expected.add((d, i))
+    assert len(expected) >= 20
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.where("covered = n_tokens").collect()} == expected
 
 
-def test_verbatim_windows_are_counted_once_a_text():
-    assert decontaminate.Index([(1, "0 " * 300)]).leaks(["0 " * 3000]) == [(0, 1, 300, 300)]
+def test_texts_that_share_an_item_id(spark):
+    items = spark.createDataFrame([(1, QUESTION), (1, f"{QUESTION} {SUM} and {CURLY}")], "item_id long, text string")
+    (r,) = decontaminate.leaks(spark.createDataFrame([(5, QUESTION)], "doc_id long, text string"), items).collect()
+    assert r["covered"] == r["n_tokens"]
 
 
 def test_words_of_any_script():
     template = decontaminate.Template(["Ab日本e\u0301x ๒๕ที่a 3.5"])
-    assert [template.slot(k).decode("utf-32-le") for k in range(len(template.start))] == ["ab", "日", "本", "e\u0301x", "๒๕", "ที่", "a", "3.5"]
+    assert [template.data[a:b].tobytes().decode("utf-32-le") for a, b in zip(template.start, template.end, strict=True)] == ["ab", "日", "本", "e\u0301x", "๒๕", "ที่", "a", "3.5"]
 
 
 def test_decontamination_query(spark):
