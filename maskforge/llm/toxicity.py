@@ -4,18 +4,22 @@ Texts are folded first: lower case, look-alike letters of other scripts and
 digits that stand for letters become Latin letters, everything else that is no
 letter becomes a space. The lexicon holds whole words and word beginnings with
 their log-odds among labelled rows; exception phrases are pairs of words that
-contain a match and are clearly commoner among rows labelled 0. The weights
+contain a match, are commoner among rows labelled 0 than among the others, and
+clearly so among the rows with any match. The weights
 found in a text, without those in exception phrases, are summed, divided by the
 number of words, and turned into a probability by a logistic curve.
 
 Fitting takes at most ``MAX_ROWS`` labelled rows of each label, those of least
-hash, and only rows that aren't held out. Scoring reads whole texts, needs no
-shuffle, and sends the lexicon of at most ``MAX_LEXICON`` entries to the executors.
+hash, and only rows that aren't held out. Every entry and phrase that reaches the thresholds is
+taken; their number is bounded by the rows learned from. Scoring reads whole texts, needs no
+shuffle, and sends the lexicon to the executors.
 
 Defined results: null and empty texts score as texts without matches. Labels
 other than 0 and 1 and null labels are ignored; of several labels of a document
 the largest counts. Without any row of either label the score is the share of
-label 1, or 0.
+label 1, or 0. Rows are scored one by one, so repeated ones score alike, and a
+document that stands twice is learned from twice. A table without rows gives none.
+Columns named score and predicted give way to the results.
 """
 
 from __future__ import annotations
@@ -27,15 +31,13 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from maskforge.llm.common import held_out, table
+from maskforge.llm.common import held_out, pieces, table
 
 MAX_ROWS = 20_000
-MAX_CANDIDATES = 300_000
-MAX_LEXICON = 20_000
 #: A lexicon entry occurs in so many rows of label 1, and with such log-odds and such a log-likelihood ratio.
 MIN_ROWS, MIN_WEIGHT, MIN_EVIDENCE = 4, 2.0, 22.0
 #: Lengths of word beginnings that can become entries.
@@ -136,7 +138,7 @@ def _counted(rows: DataFrame, features, least: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = features()
         count: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, 0)):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count[toxic].update(have(folded(text)))
         names = list(count[0].keys() | count[1].keys())
@@ -148,14 +150,14 @@ def _counted(rows: DataFrame, features, least: int = 1) -> DataFrame:
     return found.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= least)
 
 
-def evidence(n1: int, n0: int, all1: int, all0: int) -> float:
-    """Log-likelihood ratio of the two shares."""
-    share = (n1 + n0) / (all1 + all0)
-    return 2 * sum(n * np.log(n / (share * total)) for n, total in ((n1, all1), (n0, all0)) if n)
+def evidence(all1: int, all0: int) -> Column:
+    """Log-likelihood ratio of the shares n1 and n0 of all."""
+    share = (F.col("n1") + F.col("n0")) / (all1 + all0)
+    part = lambda n, total: F.when(n > 0, n * F.log(n / (share * total))).otherwise(0.0)
+    return 2 * (part(F.col("n1"), all1) + part(F.col("n0"), all0))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    spark = docs.sparkSession
     rows = labelled(docs, labels).persist()
     total = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     all1, all0 = total.get(1, 0), total.get(0, 0)
@@ -163,18 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows.unpersist()
         share = all1 / max(1, all1 + all0)
         return Model({}, [], (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0))
-    first = _counted(rows.where("toxic = 1"), lambda: entries_of, MIN_ROWS).orderBy(F.desc("n1"), "feature").limit(MAX_CANDIDATES)
-    positive = {r[0]: r[1] for r in first.select("feature", "n1").collect()}
-    shared = spark.sparkContext.broadcast(frozenset(positive))
-    negative = {r[0]: r[1] for r in _counted(rows.where("toxic = 0"), lambda: lambda text: entries_of(text) & shared.value).select("feature", "n0").collect()}
-    weights = {}
-    for entry, n1 in positive.items():
-        n0 = negative.get(entry, 0)
-        weight = float(np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1)))
-        if weight >= MIN_WEIGHT and evidence(n1, n0, all1, all0) >= MIN_EVIDENCE:
-            weights[entry] = (weight, n1)
-    best = sorted(weights, key=lambda e: (-weights[e][0] * np.log1p(weights[e][1]), e))[:MAX_LEXICON]
-    model = Model({e: weights[e][0] for e in best}, [], (0.0, 0.0))
+    weight = F.log((F.col("n1") + 0.5) / (all1 + 1)) - F.log((F.col("n0") + 0.5) / (all0 + 1))
+    found = _counted(rows, lambda: entries_of).where(F.col("n1") >= MIN_ROWS).select("feature", weight.alias("weight"), evidence(all1, all0).alias("evidence"))
+    best = found.where((F.col("weight") >= MIN_WEIGHT) & (F.col("evidence") >= MIN_EVIDENCE)).collect()
+    model = Model({r["feature"]: r["weight"] for r in sorted(best)}, [], (0.0, 0.0))
     model.exceptions = _exceptions(rows, model, all1, all0)
     rates = _rates(rows, model)
     rows.unpersist()
@@ -195,18 +189,23 @@ def _exceptions(rows: DataFrame, model: Model, all1: int, all0: int) -> list[str
                     out.add(text[text.rindex(" ", 0, start) : end + 1])
                 if end < len(text) - 1:
                     out.add(text[start : text.index(" ", end + 1) + 1])
+                out.add("")  # counts the rows with a match
             return out
 
         return have
 
-    found = _counted(rows, phrases, MIN_ROWS).where(F.col("n0") * all1 > F.col("n1") * all0).orderBy(F.desc("n0"), "feature").limit(MAX_LEXICON).collect()
-    return sorted(r[0] for r in found if evidence(r[1], r[2], all1, all0) >= MIN_EVIDENCE)
+    found = _counted(rows, phrases, MIN_ROWS)
+    whole = found.where("feature = ''").first()
+    if whole is None:
+        return []
+    clean = (F.col("n0") * all1 > F.col("n1") * all0) & (F.col("n0") * whole["n1"] > F.col("n1") * whole["n0"])
+    return sorted(r[0] for r in found.where(clean & (F.col("feature") != "") & (evidence(whole["n1"], whole["n0"]) >= MIN_EVIDENCE)).select("feature").collect())
 
 
 def _rates(rows: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, 0)):
             yield pa.RecordBatch.from_arrays([pa.array([rate_of(automaton, folded(t)) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1).cast(pa.float64())], names=["rate", "toxic"])
 
     return np.array(sorted((r[0], r[1]) for r in rows.mapInArrow(run, "rate double, toxic double").collect()))
@@ -235,7 +234,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         automaton = model.automaton()
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, at)):
             score = np.array([model.score(rate_of(automaton, folded(t))) for t in batch.column(at).to_pylist()], dtype=float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=names)
 
