@@ -13,7 +13,9 @@ space stands beside other white space is cut at its spaces and looked up there.
 There is no shuffle: each task encodes its own rows, and text that is longer
 than ``PIECE`` words is taken in pieces that end between words.
 
-Null and empty texts give no ids and decode to the empty text.
+Null and empty texts give no ids and decode to the empty text. Rows are coded one by
+one, so repeated ones get the same ids; a table without rows gives none. A column
+that bears the result's name gives way to it.
 """
 
 from __future__ import annotations

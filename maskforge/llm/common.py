@@ -22,6 +22,19 @@ TEXT_BYTES = 4 << 20
 HEAVY_ROWS = 10_000
 
 
+#: Folders that ``written`` has made in this process.
+_paths: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` has made in this process, when their results have been read; how many there were."""
+    n = len(_paths)
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +55,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/maskforge-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,9 @@ Whole texts are judged, in pieces of ``PIECE`` characters so that a long text
 doesn't become its own dictionary. There is no shuffle over texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
-as are all texts if no language was learned.
+as are all texts if no language was learned. Rows are judged one by one, so
+repeated ones get one answer each; a table without rows gives none. Input columns
+named lang_pred, score and rejected give way to the results.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from maskforge.llm.common import held_out, table
+from maskforge.llm.common import held_out, pieces, table
 
 LANGUAGES_AT_ONCE = 64
 #: Characters of texts that are judged together.
@@ -66,7 +68,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of whole texts, as much as a dictionary holds."""
-    for batch in batches:
+    for batch in (p for whole in batches for p in pieces(whole, 2)):
         words = [words_only(t)[:DICTIONARY_BYTES] for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(words, pa.binary())], names=["lang", "k", "words"])
 
@@ -144,7 +146,7 @@ def identified(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, at)):
             texts, found = batch.column(at).to_pylist(), []
             while len(found) < len(texts):
                 first = upto = len(found)

@@ -10,8 +10,12 @@ builds one shard's cascade. Verdicts read the filters, not the keys: there is no
 join with urls. Filters are sent to the executors in slices of at most
 ``SLICE_BYTES``, a pass over the hosts for each slice.
 
+The listed keys are a table of any size, which never comes to the driver.
+
 Defined results: a null url, or one without ``://``, has an empty host and
-path; it matches no rule and no key, and is allowed.
+path; it matches no rule and no key, and is allowed. Rows are judged one by one, so
+repeated ones get one verdict each; a table without rows gives none. Input columns
+named host, path, rule and verdict give way to the results.
 """
 
 from __future__ import annotations
@@ -48,6 +52,11 @@ LISTED_ENDINGS = ["example.com", "example.net", "example.org"]
 LISTED = [f"{name}.{ending}" for name in LISTED_NAMES for ending in LISTED_ENDINGS]
 
 
+def listed_hosts(spark: SparkSession, hosts: list[str] = LISTED) -> DataFrame:
+    """A table of listed keys (column ``key``) from a short list."""
+    return spark.createDataFrame([(h,) for h in hosts], "key string")
+
+
 def hashes_of(key: str) -> tuple[int, int]:
     h = blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     return int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little") | 1
@@ -99,10 +108,9 @@ def shard_of(key: str, shards: int) -> int:
     return hashes_of(key)[0] % shards
 
 
-def build(keys: DataFrame, listed: list[str], shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """(rows of shard and pickled levels, number of shards) for the distinct ``key`` column of ``keys``."""
-    spark = keys.sparkSession
-    wanted = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string").withColumn("listed", F.lit(True))
+def build(keys: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+    """(rows of shard and pickled levels, number of shards) for the distinct ``key`` columns of ``keys`` and ``listed``."""
+    wanted = listed.select("key").where("key is not null").withColumn("listed", F.lit(True))
     known = keys.select("key").where("key is not null").distinct().withColumn("listed", F.lit(False)).unionByName(wanted)
     known = known.groupBy("key").agg(F.max("listed").alias("listed"))
     known = written(known, "keys")
@@ -172,8 +180,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], value
     return out
 
 
-def judged(pages: DataFrame, listed: list[str] = LISTED, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule and verdict; columns of these names give way."""
+def judged(pages: DataFrame, listed: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """``pages`` with host, path, rule and verdict; columns of these names give way. ``listed`` is a table with a column ``key`` (default: ``LISTED``)."""
+    listed = listed_hosts(pages.sparkSession) if listed is None else listed
     host, path = host_and_path(F.col("url").cast("string"))
     parsed = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
     labels = F.split("host", r"\.")

@@ -52,29 +52,47 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.where("false")).count() == 0
 
 
-def test_quality(odd, none):
+def test_quality(spark, odd, none):
     rows = quality.judged(odd).collect()
     assert len(rows) == 13 and {r["doc_id"]: r["n_words"] for r in rows}[1] == 0
     assert {r["doc_id"]: r["n_dup_lines"] for r in rows}[10] == 39
     assert quality.judged(none).count() == 0
+    clash = odd.withColumns({c: odd.text for c in ("n_words", "host", "lines", "_row", "lost", "base_failed")})
+    assert sorted(map(str, quality.judged(clash).collect())) == sorted(map(str, rows))
+    some = spark.createDataFrame([(i, f"line {i} of its own\ncopyright of the host", "a") for i in range(30)] + [(99, "copyright of the host", "b")], "doc_id long, text string, source string")
+    lost = {r["doc_id"]: r["lost"] for r in quality.judged(some).collect()}
+    assert lost[99] == 0.0 and all(lost[i] > 0 for i in range(30))
 
 
 def test_secrets(odd, none):
     rows = secrets.scanned(odd).collect()
     assert len(rows) == 13 and all(r["n_assign"] == r["n_access"] == 0 for r in rows)
+    assert all(r["base_spans"] == [] for r in rows if r["doc_id"] in (1, 2, 3))
     assert secrets.scanned(none).count() == 0
 
 
-def test_line_dedup(odd, none):
-    rows = line_dedup.deduplicated(odd).collect()
-    assert len(rows) == 13 - 0 and odd.columns == line_dedup.deduplicated(odd).columns
+def test_line_dedup(spark, odd, none):
+    out = line_dedup.deduplicated(odd)
+    assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))  # nothing of 50 words repeats but in equal rows, which are one document
     assert line_dedup.deduplicated(none).count() == 0
+    passage = "\n".join(f"line {i} of a passage that stands in many documents" for i in range(8))
+    rows = [(3, f"own\n{passage}"), (1, f"{passage}\nend"), (None, passage), (7, None), (3, f"own\n{passage}"), (4, "x"), (5, f"a\n{passage}\n\n{passage}")]
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, f"{passage}\nend"), (3, "own"), (3, "own"), (4, "x"), (5, "a\n"), (7, None)], key=repr)
+
+
+def test_near_dedup_stage_of_repeated_ids(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "a"), (2, f"{words} more", "a"), (5, "some text of its own", "b"), (5, "another text under the id", "b"), (5, "some text of its own", "b"), (None, words, "a"), (None, words, "a"), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, near_dedup.stage_near_dedup(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, words, "a"), (5, "another text under the id", "b"), (None, words, "a"), (None, words, "a"), (6, None, None)], key=repr)
 
 
 def test_token_counts(spark, odd, none, tmp_path):
     rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
     assert rollup.totals().count() == 0
-    counts = token_counts.counted(odd, "words-2")
+    counts = token_counts.counted(odd.withColumn("tokenizer", odd.text).withColumn("n_tokens", odd.text), "words-2")
     assert rollup.apply("a", token_counts.inserts(counts)) and not rollup.apply("a", token_counts.inserts(counts))
     assert rollup.apply("none", token_counts.inserts(token_counts.counted(none, "words-2")))
     assert rollup.totals().agg({"n_docs": "sum"}).first()[0] == 13
@@ -97,3 +115,6 @@ def test_pipeline_keeps_columns(spark, odd, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == odd.columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert last.columns == [c for c in odd.columns if c != "ids"] + ["ids", "n_tokens"]
+        assert all(r["n_tokens"] == len(r["ids"]) and (r["ids"] == []) == (not r["text"]) for r in last.collect())

@@ -134,12 +134,132 @@ def test_toxicity_folds_and_finds_held_out(spark):
     rows = {r["doc_id"]: r for r in registry.queries()["op4_toxicity"](spark, DATA.replace("0.001", "0.01")).collect()}
     labels = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/labels.parquet").collect()
     held = [(r["toxic"], rows[r["doc_id"]]["predicted"]) for r in labels if rows[r["doc_id"]]["held_out"]]
-    assert sum(a == b for a, b in held) / len(held) > 0.93
+    hit, toxic, said = sum(a == b == 1 for a, b in held), sum(a for a, _ in held), sum(b for _, b in held)
+    assert hit >= 0.6 * toxic and hit >= 0.8 * said  # 6 toxic rows are held out here; the README has the figures of sf0.1
     assert toxicity.folded("Yоu 1D10T, ＬＯＳＥＲ!") == " you idiot loser "
     model = toxicity.Model({" idiot ": 5.0, " lose": 4.0}, [" no idiot "], (0.0, 1.0))
     assert toxicity.matches(model.automaton(), toxicity.folded("no idiot here, a loser")) == {16: 4.0}
 
 
+def naive_rate(model, text):
+    """Every entry sought at every word, without an automaton."""
+    found, spared = {}, set()
+    for phrase in model.exceptions:
+        at = text.find(phrase)
+        while at >= 0:
+            spared |= set(range(at, at + len(phrase) - 1))
+            at = text.find(phrase, at + 1)
+    for at in range(len(text)):
+        weights = [w for e, w in model.entries.items() if text.startswith(e, at)]
+        if weights and at not in spared:
+            found[at] = max(weights)
+    return 100 * sum(found.values()) / max(1, len(text.split()))
+
+
+def test_toxicity_with_exceptions_by_naive_scan(spark):
+    """A word that is toxic but in one phrase: the phrase is learned as an exception, and scores equal those of a plain search."""
+    rng = random.Random(8)
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    rows, labels = [], []
+    for i in range(400):
+        text = rng.choices(words, k=12)
+        toxic = i % 4 == 0
+        if toxic:
+            text[rng.randrange(12)] = rng.choice(["sc0undrel", "ѕcoundrel", "Scoundrel", "blockheads"])
+        elif i % 16 == 1:  # fewer of the harmless phrase than of the insult
+            text[rng.randrange(11)] = "lovable scoundrel"
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame([*rows, (1000, "some lovable scoundrel of worda"), (1001, "some scoundrel of worda"), (1002, None)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert " scoundrel " in model.entries and " lovable scoundrel " in model.exceptions
+    got = {r["doc_id"]: (r["text"], r["score"], r["predicted"]) for r in toxicity.scored(docs, model).collect()}
+    assert got[1000][2] == 0 and got[1001][2] == 1 and got[1002][2] == 0
+    for text, score, _ in got.values():
+        assert score == pytest.approx(model.score(naive_rate(model, toxicity.folded(text))))
+
+
+def test_langid_by_naive_compression(spark):
+    """The choice against one dictionary at a time, each piece compressed anew."""
+    import zstandard
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    docs = spark.createDataFrame(rows)
+    content = langid.learn(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identified(docs, content).collect()}
+
+    def size(data, name, short):
+        total = 0
+        for at in range(0, len(data), langid.PIECE):
+            made = langid.close(content[name]) if short else zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            total += len(made.compress(data[at : at + langid.PIECE]))
+        return total
+
+    seen = 0
+    for r in rows[:60]:
+        if r["text"] and langid.LETTER.search(r["text"]):
+            data = langid.words_only(r["text"])
+            for short in (False, True):
+                sums = sorted((size(data, name, short), k, name) for k, name in enumerate(content))
+                score = (sums[1][0] - sums[0][0]) / sums[1][0]
+                if score >= langid.CLOSE:
+                    break
+            assert got[r["doc_id"]] == (sums[0][2], pytest.approx(score))
+            seen += 1
+        else:
+            assert got[r["doc_id"]] == ("und", 0.0)
+    assert seen > 30
+
+
+def test_token_counts_by_sql_and_the_library(spark, duck, library):
+    from maskforge.llm import token_counts
+
+    got = registry.queries()["op3_token_counts"](spark, DATA)
+    assert_same(got.where("tokenizer <> 'byte_bpe_50k'"), duck, token_counts.PLAIN_SQL)
+    expected = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        n, total = expected.get((r["source"], r["lang"]), (0, 0))
+        expected[r["source"], r["lang"]] = (n + 1, total + len(library.encode(r["text"] or "", add_special_tokens=False).ids))
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in got.where("tokenizer = 'byte_bpe_50k'").collect()} == expected
+
+
+def test_collisions_by_brute_force():
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 4, (40, near_dedup.COORDINATES))
+    block = near_dedup.Block(list(range(40)), [np.array([1, 2], dtype=np.uint64)] * 40, signs, 80)
+    for x in range(40):
+        n = (signs == signs[x]).sum(1)
+        assert (block.collisions(x) == np.where(n >= near_dedup.MATCHES, n, 0)).all()
+
+
+def test_joins_by_weight_agree(spark, monkeypatch):
+    """All keys sent, the heaviest sent, and none sent give the same rows."""
+    from maskforge.llm import common
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)], "k long, v long")
+    keyed = common.written(rows.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").selectExpr("k", "n", "k * 2 as twice"), "keyed")
+    got = []
+    for small, heavy in ((1000, 10), (2, 50), (0, 10_000)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(common, "HEAVY_ROWS", heavy)
+        out = common.joined_by_weight(rows, keyed, ["k"])
+        assert out.columns == ["k", "v", "twice"]
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200
+
+
+def test_written_tables_can_be_cleaned(spark):
+    from maskforge.llm import common
+
+    kept, common._paths[:] = common._paths[:], []
+    path = common.written(spark.range(3).toDF("x"), "gone").inputFiles()[0]
+    assert common.clean(spark) == 1 and common.clean(spark) == 0
+    import os
+
+    assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+    common._paths[:] = kept
+
+
 def test_langid_held_out(spark):
     sf = DATA.replace("0.001", "0.01")
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -183,7 +303,7 @@ def test_url_slices(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "SLICE_BYTES", 1)
     monkeypatch.setattr(url_filter, "SHARD_KEYS", 20)
     monkeypatch.setattr(url_filter.build, "__defaults__", (20,))
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, [f"h{i}.site{i % 5}.org" for i in range(10)] + ["site3.org"], []).collect()}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, url_filter.listed_hosts(spark, [f"h{i}.site{i % 5}.org" for i in range(10)] + ["site3.org", "site3.org"]), []).collect()}
     assert got == {i: "block" if i % 5 == 3 or i % 37 < 10 and i % 5 == (i % 37) % 5 else "allow" for i in range(200)}
 
 
