@@ -16,9 +16,9 @@ occurrence with the least (doc_id, line) stays and the others are deleted. These
 shortest runs cover every maximal repeated run of ``MIN_WORDS`` words, and nothing else.
 
 Doubling ends when no pair repeats or the ranks are as long as the longest
-shortest run. No step needs all rows of a key in one task but joins, whose hot
-keys adaptive execution splits: counts and minima are combined before each
-shuffle. Ranks are written in the shared folder each round.
+shortest run. No step needs all rows of a key in one task: counts and minima are
+combined before each shuffle, and the hot keys of a join are sent to the tasks. Ranks
+are written in the shared folder each round.
 
 Defined results: null text has no lines and stays null; a document that loses
 lines keeps the others in order; one that loses every line with a word is dropped from
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import table, written
+from maskforge.llm.common import hinted, joined_by_weight, table, written
 from maskforge.llm.quality import WHITE, let
 
 MIN_WORDS = 50
@@ -55,15 +55,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    """Ranks of the (a, b) that occur twice or more: a place in their order, ascending with them."""
-    often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    """Ranks of the (a, b) that occur twice or more, and how often: a place in their order, ascending with them."""
+    often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
     return written(often.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _text, line of the lines to delete, each once."""
     lines = written(lines_of(docs).dropDuplicates([*KEY, "line"]), "lines")
-    first = written(lines.join(ranked(lines), ["a", "b"]).select(*KEY, "line", "words", "rank"), "suffixes")
+    first = written(joined_by_weight(lines, ranked(lines), ["a", "b"]).select(*KEY, "line", "words", "rank"), "suffixes")
     needs = written(_needs(first, min_words), "needs")
     longest = needs.agg(F.max("need")).first()[0]
     found = None
@@ -75,8 +75,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
         doc = Window.partitionBy(*KEY).orderBy("line")
         ahead = level.select(*KEY, "line", F.col("rank").alias("a"), F.lead("rank", 1 << k).over(doc).alias("b"), F.lead("line", 1 << k).over(doc).alias("next"))
-        ahead = ahead.where(F.col("next") == F.col("line") + (1 << k)).select(*KEY, "line", "a", "b")
-        level = written(ahead.join(ranked(ahead), ["a", "b"]).select(*KEY, "line", "rank"), "level")
+        ahead = written(ahead.where(F.col("next") == F.col("line") + (1 << k)).select(*KEY, "line", "a", "b"), "ahead")
+        level = written(joined_by_weight(ahead, ranked(ahead), ["a", "b"]).select(*KEY, "line", "rank"), "level")
         k += 1
         if level.isEmpty():
             break
@@ -118,15 +118,17 @@ def _intervals(needs: DataFrame, level: DataFrame, k: int) -> DataFrame:
     head = level.withColumnRenamed("rank", "head")
     tail = level.select(*KEY, (F.col("line")).alias("last"), F.col("rank").alias("tail"))
     runs = runs.join(head, [*KEY, "line"]).withColumn("last", F.col("line") + F.col("need") - (1 << k)).join(tail, [*KEY, "last"])
+    runs = written(runs.select(*KEY, "line", "need", "head", "tail"), "runs")
     where = F.struct(*KEY, "line")
-    least = runs.groupBy("head", "tail", "need").agg(F.min(where).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = runs.join(least, ["head", "tail", "need"]).where(where != F.col("kept"))
+    least = written(runs.groupBy("head", "tail", "need").agg(F.min(where).alias("kept"), F.count("*").alias("n")).where("n > 1"), "least")
+    copies = joined_by_weight(runs, least, ["head", "tail", "need"]).where(where != F.col("kept"))
     return copies.select(*KEY, "line", "need")
 
 
 def removed_by_document(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id, _text, removed: the sorted numbers of the lines to delete."""
-    return repeated_lines(docs, min_words).groupBy(*KEY).agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    """_id, _text, removed: the sorted numbers of the lines to delete; sent to every task if they are few."""
+    removed = repeated_lines(docs, min_words).groupBy(*KEY).agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    return hinted(written(removed, "removed"), 1 + F.size("removed") / 8)
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
