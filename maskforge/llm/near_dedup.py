@@ -3,24 +3,28 @@
 Each document's set of word shingles gets a signature of ``COORDINATES``
 coordinates, each made of the minima of ``ROWS`` random hash functions, so two sets of similarity s
 agree in a coordinate with probability s**ROWS. A link of s >= 0.8 agrees in 16 of 32 on
-average and in fewer than ``MATCHES`` about once in two million links.
+average and in fewer than ``MATCHES`` about once in 270 million links.
 
 1. Documents with equal sets form a class; only its smallest id goes on.
 2. Prefix: sets that agree in ``MATCHES`` coordinates agree in one of the first
    ``COORDINATES - MATCHES + 1``, so only those are posted, under (coordinate,
    value). The smallest id under a posting is its head; a document is a member
    of each head that it meets. All documents that share a posting share its head.
-3. Each head's members are compared in one task, or if many, in blocks: collisions over the whole signature are
-   counted (the skipped coordinates too), pairs under the threshold go, and
-   the rest are confirmed on the full sets. Pairs that are in one component
+3. Each head's members are compared in one task, or if many, in blocks. A
+   document's posting lists are merged and its collisions with each other member counted;
+   the ``MATCHES - 1`` longest lists are skipped in the merge, as whoever reaches
+   the threshold stands in another list too, and are looked up for those only that
+   do. Pairs under the threshold go, and the rest are confirmed on the full sets. Pairs that are in one component
    already need no comparison, so a group of copies takes one pass, not all pairs.
 4. Heads with several blocks: after components are known, members outside the
    head's largest component are compared with all the others, block by block.
 5. Components come from distributed large-star and small-star rounds.
 
 Defined results: null or empty text has an empty set, size 0, and is linked
-with nothing; rows that share a doc_id are one document; a null doc_id has no
-component and is kept. Sets are held as 64-bit hashes of shingles.
+with nothing; rows that share a doc_id are one document, linked by any of their texts, and
+each has its own row in the result; a null doc_id has no
+component and is kept. A table without rows gives none; only doc_id and text are
+looked at, whatever other columns are called. Sets are held as 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -32,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import table, written
+from maskforge.llm.common import hinted, joined_by_weight, pieces, table, written
 from maskforge.llm.components import components
 from maskforge.llm.shingles import Signer, digest, shingle_set
 
-COORDINATES, ROWS, MATCHES = 32, 3, 4
+COORDINATES, ROWS, MATCHES = 32, 3, 2
 PREFIX = COORDINATES - MATCHES + 1
 #: A block has about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 1_500_000
-#: Up to so many (head, member) rows of 32 bytes are sent to the executors; more are shuffled.
-BROADCAST_ROWS = 500_000
+#: Words of a shingle and percent of similarity, unless a caller has others: op2 takes two words, the pipeline's stage these five.
+WORDS, PERCENT = 5, 80
 
 
 def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -50,7 +54,7 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(COORDINATES, ROWS)
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, 1)):
             sizes, digests, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text, k)
@@ -97,18 +101,37 @@ class Block:
     """Documents that are compared in one task."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], signs: np.ndarray, percent: int):
-        self.ids, self.signs, self.percent = ids, signs, percent
+        self.ids, self.percent = ids, percent
+        # posting lists of each coordinate: the members in order of its value, and where each member's list is
+        self.value = np.empty((signs.shape[1], len(ids)), dtype=np.int64)
+        self.post = np.argsort(signs, axis=0, kind="stable").T
+        self.bounds = []
+        for c in range(signs.shape[1]):
+            _, self.value[c], n = np.unique(signs[:, c], return_inverse=True, return_counts=True)
+            self.bounds.append(np.concatenate(([0], np.cumsum(n))))
         self.size = np.array([len(s) for s in sets])
         self.start = np.cumsum(self.size) - self.size
         names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(len(names), dtype=np.int32)
 
+    def collisions(self, x: int) -> np.ndarray:
+        """In how many coordinates each member agrees with ``x``, where that reaches ``MATCHES``, else 0."""
+        lists = [self.post[c, self.bounds[c][v] : self.bounds[c][v + 1]] for c, v in enumerate(self.value[:, x].tolist())]
+        order = sorted(range(len(lists)), key=lambda c: len(lists[c]))
+        merged, skipped = order[: len(order) - MATCHES + 1], order[len(order) - MATCHES + 1 :]
+        count = np.bincount(np.concatenate([lists[c] for c in merged]), minlength=len(self.ids))
+        met = np.flatnonzero(count)
+        count[met] += (self.value[skipped][:, met] == self.value[skipped, x][:, None]).sum(0)
+        count[count < MATCHES] = 0
+        return count
+
     def linked(self, x: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` that are similar enough to document ``x``."""
         n = self.size[x]
         size = self.size[others]
         others = others[100 * np.minimum(size, n) >= self.percent * np.maximum(size, n)]
-        others = others[(self.signs[others] == self.signs[x]).sum(1) >= MATCHES]
+        if len(others):
+            others = others[self.collisions(x)[others] > 0]
         if not len(others):
             return others
         own = self.flat[self.start[x] : self.start[x] + n]
@@ -168,7 +191,7 @@ def _compared(members: DataFrame, k: int, percent: int) -> DataFrame:
                 return block.edges()
             return block.edges(np.array([r[2] == 1 for r in rows]), np.array([r[3] for r in rows]))
 
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, 6)):
             out: list[tuple[int, int]] = []
             columns = [c.to_pylist() for c in batch.columns]
             for head, xb, yb, side, component, rep, text in zip(*columns, strict=True):
@@ -189,33 +212,31 @@ def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
-def _with_text(assigned: DataFrame, docs: DataFrame, n_rows: int) -> DataFrame:
+def _with_text(assigned: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(assigned) if n_rows <= BROADCAST_ROWS else assigned, "rep")
+    return texts.join(hinted(assigned), "rep")
 
 
-def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents with doc_id, n_shingles, rep; links between representatives as (u, v) that keep every component)."""
     sign = written(signed(docs, k, percent), "signed")
     classes = sign.where("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
     known = sign.join(classes, "set_digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     known = written(known.withColumn("keys", F.when(F.col("rep") == F.col("doc_id"), F.col("keys"))).drop("set_digest"), "classes")
     postings = known.where("keys is not null").select("rep", "n_shingles", F.explode("keys").alias("key"))
-    heads = postings.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = postings.join(heads, "key").groupBy("head", "rep").agg(F.max("n_shingles").alias("n_shingles"))
+    heads = written(postings.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    met = joined_by_weight(postings, heads, ["key"]).groupBy("head", "rep").agg(F.max("n_shingles").alias("n_shingles"))
     met = written(met, "members")
-    blocks = met.groupBy("head").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    blocks = blocks.where("members > 1").withColumn(
-        "blocks", F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    )
-    dealt = met.join(blocks, "head").withColumn("component", F.lit(None).cast("long"))
+    blocks = met.groupBy("head").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = written(blocks.where("n > 1").select("head", "n", n_blocks.alias("blocks")), "sizes")
+    dealt = joined_by_weight(met, blocks, ["head"]).withColumn("component", F.lit(None).cast("long"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("xb")
     one = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("xb")
     none = [F.lit(0).alias("yb"), F.lit(1).alias("side"), "component", "rep"]
     assigned = dealt.where("rep = head").select("head", every, *none).unionByName(dealt.where("rep <> head").select("head", one, *none))
     assigned = written(assigned, "blocks")
-    n_rows = assigned.count()
-    edges = written(_compared(_with_text(assigned, docs, n_rows), k, percent), "links")
+    edges = written(_compared(_with_text(assigned, docs), k, percent), "links")
     many = dealt.where("blocks > 1").drop("component")
     if not many.isEmpty():
         edges = edges.unionByName(_across_blocks(many, edges, docs, k, percent))
@@ -239,10 +260,10 @@ def _across_blocks(many: DataFrame, edges: DataFrame, docs: DataFrame, k: int, p
     as_x = many.where(x).select("head", xb.alias("xb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("yb"), F.lit(1).alias("side"), "component", "rep")
     as_y = many.select("head", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("xb"), yb.alias("yb"), F.lit(0).alias("side"), "component", "rep")
     grid = written(as_x.unionByName(as_y).groupBy("head", "xb", "yb", "rep").agg(F.max("side").alias("side"), F.max("component").alias("component")), "grid")
-    return written(_compared(_with_text(grid, docs, grid.count()), k, percent), "links")
+    return written(_compared(_with_text(grid, docs), k, percent), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     known, edges = links(docs, k, percent)
     found = components(edges)
@@ -256,8 +277,17 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; rows with a null id stay, and of rows that share an id one."""
-    found = near_duplicates(docs)
-    ids = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group stays, its smallest id; rows with a null id stay.
+
+    Of rows that share an id, the one of least text stays (then of least hash).
+    Only ids are shuffled, and the rows whose id repeats.
+    """
+    copies = hinted(written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies"))
+    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    repeated = hinted(repeated)
+    order = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), F.xxhash64(*docs.columns))
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
