@@ -17,7 +17,7 @@ FOLDS = 5
 #: Tables of at most so many rows, which are narrow (keys and numbers), are sent to every task.
 BROADCAST_ROWS = 500_000
 #: Bytes of texts of an Arrow batch that become Python strings together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 #: A key of a join that more rows bear than this is not left to one task.
 HEAVY_ROWS = 10_000
 

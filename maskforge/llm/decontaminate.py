@@ -75,11 +75,12 @@ _classes: list[np.ndarray] = []
 def char_classes() -> np.ndarray:
     """The classes of each code point."""
     if not _classes:
-        every = "".join(map(chr, range(0x110000)))
-        table = np.zeros(len(every), dtype=np.uint8)
-        for bit, pattern in CLASSES.items():
-            for m in regex.finditer(pattern, every):
-                table[m.start() : m.end()] |= bit
+        table = np.zeros(0x110000, dtype=np.uint8)
+        for plane in range(0, len(table), 0x10000):
+            some = "".join(map(chr, range(plane, plane + 0x10000)))
+            for bit, pattern in CLASSES.items():
+                for m in regex.finditer(pattern, some):
+                    table[plane + m.start() : plane + m.end()] |= bit
         _classes.append(table)
     return _classes[0]
 

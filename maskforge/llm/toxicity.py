@@ -40,6 +40,8 @@ from maskforge.llm.common import held_out, pieces, table
 MAX_ROWS = 20_000
 #: A lexicon entry occurs in so many rows of label 1, and with such log-odds and such a log-likelihood ratio.
 MIN_ROWS, MIN_WEIGHT, MIN_EVIDENCE = 4, 2.0, 22.0
+#: Features that a task holds before it sends their counts on.
+COUNTED_AT_ONCE = 50_000
 #: Lengths of word beginnings that can become entries.
 STEMS = range(4, 9)
 #: Letters of other scripts that look like Latin ones, and digits and signs used for letters.
@@ -138,13 +140,20 @@ def _counted(rows: DataFrame, features, least: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = features()
         count: tuple[Counter, Counter] = Counter(), Counter()
+
+        def made() -> pa.RecordBatch:
+            names = list(count[0].keys() | count[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][x] for x in names], pa.int64()), pa.array([count[0][x] for x in names], pa.int64())], names=["feature", "n1", "n0"])
+            for side in count:
+                side.clear()
+            return out
+
         for batch in (p for whole in batches for p in pieces(whole, 0)):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count[toxic].update(have(folded(text)))
-        names = list(count[0].keys() | count[1].keys())
-        for i in range(0, len(names), 10_000):
-            some = names[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([count[1][x] for x in some], pa.int64()), pa.array([count[0][x] for x in some], pa.int64())], names=["feature", "n1", "n0"])
+            if len(count[0]) + len(count[1]) > COUNTED_AT_ONCE:
+                yield made()
+        yield made()
 
     found = rows.mapInArrow(run, "feature string, n1 long, n0 long")
     return found.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= least)
