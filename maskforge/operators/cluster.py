@@ -3,24 +3,74 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.functions.arrays import euclidean
+from maskforge.functions.arrays import euclidean, selected
+from maskforge.operators.evaluate import BLOCK_BYTES, matrix
 
 PLACES = 9
+#: Rows of a block whose distances are held at once.
+AT_ONCE = 256
 
 
-def _pairs(points: DataFrame, condition: Column) -> DataFrame:
-    """a, b and d of the pairs of rows that meet a condition on d; a row's own pair is left out.
+def _by_blocks(points: DataFrame, look: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], schema: str, *more: str) -> DataFrame:
+    """Rows that ``look(ids, distances, other ids, labels of the others)`` makes of each two blocks of points.
 
-    A nested loop over all pairs, as the operator asks for them; meant for tables that ``sampled`` has made small.
+    Points are dealt into blocks of ``BLOCK_BYTES``, and each task holds two of them: all pairs are
+    looked at, but only what ``look`` keeps leaves the task. A row's distance to itself is infinite.
     """
-    left = points.select(F.col("row_id").alias("a"), F.col("features").alias("x"))
-    right = points.select(F.col("row_id").alias("b"), F.col("features").alias("y"))
-    d = F.round(euclidean(F.col("x"), F.col("y")), PLACES)
-    return left.join(right, F.col("a") != F.col("b")).select("a", "b", d.alias("d")).where(condition)
+    n, width = points.agg(F.count("*"), F.max(F.size("features"))).first()
+    blocks = max(1, -(-n * ((width or 0) + 2) * 8 // BLOCK_BYTES))
+    own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = points.select("row_id", F.col("features").cast("array<double>").alias("features"), *more)
+    left = rows.withColumn("v", own).withColumn("t", every)
+    right = rows.select(F.col("row_id").alias("id"), F.col("features").alias("x"), *[F.col(c).alias("c") for c in more], every.alias("rv"), own.alias("rt"))
+    names, kinds = zip(*[c.split(" ") for c in schema.split(", ")], strict=True)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("id")
+            ids, values = y["id"].to_numpy(), matrix(y["x"])
+            labels = np.array(y["c"].to_pylist()) if more else ids
+            for part in range(0, x.num_rows, AT_ONCE):
+                some = x.slice(part, AT_ONCE)
+                asked, mine = some["row_id"].to_numpy(), matrix(some["features"])
+                d = np.zeros((len(asked), len(ids)))
+                for f in range(values.shape[1]):
+                    d += np.square(mine[:, f, None] - values[None, :, f])
+                d = np.round(np.sqrt(d), PLACES)
+                d[asked[:, None] == ids[None]] = np.inf
+                out += look(asked, d, ids, labels)
+        return pa.table({c: pa.array([r[i] for r in out], _KINDS[k]) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})
+
+    return left.groupBy("v", "t").cogroup(right.groupBy("rv", "rt")).applyInArrow(run, schema)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+
+def nearest_pairs(points: DataFrame, k: int) -> DataFrame:
+    """a, b, d: each row's k nearest others, ties to the smaller id."""
+
+    def look(asked, d, ids, labels):
+        place = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return [(a, ids[p], d[i, p]) for i, a in enumerate(asked) for p in place[i] if np.isfinite(d[i, p])]
+
+    found = _by_blocks(points, look, "a long, b long, d double")
+    best = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("near"))  # k rows of each block
+    return best.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.d")
+
+
+def pairs_within(points: DataFrame, eps: float) -> DataFrame:
+    """a, b, d of the pairs of rows, both ways, that are at most eps apart."""
+    return _by_blocks(points, lambda asked, d, ids, labels: [(asked[i], ids[j], d[i, j]) for i, j in np.argwhere(d <= eps)], "a long, b long, d double")
 
 
 def neighbour_graph(points: DataFrame, k: int = 5, weight: str = "binary", t: float = 1.0) -> DataFrame:
@@ -28,8 +78,7 @@ def neighbour_graph(points: DataFrame, k: int = 5, weight: str = "binary", t: fl
 
     weight: ``binary`` 1, ``heat`` exp(-d^2 / 2t^2), or ``cosine``.
     """
-    order = Window.partitionBy("a").orderBy("d", "b")
-    near = _pairs(points, F.lit(True)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    near = nearest_pairs(points, k)
     if weight == "binary":
         w = F.lit(1.0)
     elif weight == "heat":
@@ -45,7 +94,11 @@ def neighbour_graph(points: DataFrame, k: int = 5, weight: str = "binary", t: fl
 
 def density(points: DataFrame, eps: float, least: int) -> DataFrame:
     """row_id, degree (itself included) and core of the eps neighbourhoods."""
-    n = _pairs(points, F.col("d") <= eps).groupBy(F.col("a").alias("row_id")).agg(F.count("*").alias("n"))
+    return _density(points, pairs_within(points, eps), least)
+
+
+def _density(points: DataFrame, near: DataFrame, least: int) -> DataFrame:
+    n = near.groupBy(F.col("a").alias("row_id")).agg(F.count("*").alias("n"))
     degree = F.coalesce("n", F.lit(0)) + 1
     return points.select("row_id").join(n, "row_id", "left").select("row_id", degree.alias("degree"), (degree >= least).cast("int").alias("core"))
 
@@ -56,8 +109,8 @@ def dbscan(points: DataFrame, eps: float = 0.5, least: int = 5, rounds: int = 10
     Core rows take the least name among their core neighbours and that name's
     own name (pointer jumping) until nothing changes; each round is checkpointed.
     """
-    core = density(points, eps, least).where("core = 1").select("row_id")
-    near = _pairs(points, F.col("d") <= eps)
+    near = pairs_within(points, eps).checkpoint()
+    core = _density(points, near, least).where("core = 1").select("row_id")
     inner = near.join(core.withColumnRenamed("row_id", "a"), "a").join(core.withColumnRenamed("row_id", "b"), "b").select("a", "b").checkpoint()
     names = core.withColumn("cluster", F.col("row_id")).checkpoint()
     for _ in range(rounds):
@@ -89,9 +142,18 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, rounds: int = 50, distance:
 
 def silhouette(points: DataFrame) -> DataFrame:
     """One row: mean Euclidean silhouette of the labels; rows alone in their class count 0."""
-    named = points.select("row_id", "label")
-    pairs = _pairs(points, F.lit(True)).join(named.select(F.col("row_id").alias("a"), F.col("label").alias("own")), "a").join(named.select(F.col("row_id").alias("b"), "label"), "b")
-    mean = pairs.groupBy("a", "own", "label").agg(F.avg("d").alias("m"))
+    names = sorted(r[0] for r in points.select("label").distinct().collect())  # one row per class
+    place = points.withColumn("label", F.array_position(F.array(*map(F.lit, names)), F.col("label")).cast("int")) if names else points
+
+    def look(asked, d, ids, labels):
+        finite = np.where(np.isfinite(d), d, 0.0)
+        for name in np.unique(labels):
+            inside = labels == name
+            n, total = (np.isfinite(d) & inside).sum(1), finite[:, inside].sum(1)
+            yield from ((a, int(name), t, int(c)) for a, t, c in zip(asked, total, n, strict=True) if c)
+
+    sums = _by_blocks(place, look, "a long, label int, total double, n long", "label")
+    mean = sums.groupBy("a", "label").agg((F.sum("total") / F.sum("n")).alias("m")).join(place.select(F.col("row_id").alias("a"), F.col("label").alias("own")), "a")
     each = mean.groupBy("a").agg(F.max(F.when(F.col("own") == F.col("label"), F.col("m"))).alias("inner"), F.min(F.when(F.col("own") != F.col("label"), F.col("m"))).alias("outer"))
     value = F.when(F.col("inner").isNull() | F.col("outer").isNull(), 0.0).otherwise(F.try_divide(F.col("outer") - F.col("inner"), F.greatest("inner", "outer")))
     return each.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette"))
@@ -123,6 +185,14 @@ def unsupervised_error(points: DataFrame) -> DataFrame:
     return calinski_harabasz(points).crossJoin(silhouette(points)).select((1 - 0.005 * F.col("ch") + 0.5 * F.col("silhouette")).alias("error"))
 
 
+def mask_error(points: DataFrame, mask: list[int], k: int, seed: int = 0) -> float:
+    """Fitness without labels of a mask: ``unsupervised_error`` of k-means clusters over its features; 1 where all rows are one cluster."""
+    chosen = points.select("row_id", selected(F.col("features"), F.array(*map(F.lit, mask))).alias("features"))
+    named = chosen.join(kmeans(chosen, k, seed).withColumnRenamed("cluster", "label"), "row_id")
+    found = unsupervised_error(named).first()[0]
+    return 1.0 if found is None else float(found)
+
+
 def majority_labels(pairs: DataFrame) -> DataFrame:
     """cluster, label: the most frequent label of each cluster, ties to the smaller; rows have cluster and label."""
     n = pairs.groupBy("cluster", "label").agg(F.count("*").alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from maskforge.functions.portable import uniform
 
 HUGE = 1.7976931348623157e308
+#: More than an order's lines can be numbered: (order, line) as one number.
+LINES = 1 << 32
 
 
 def cleaned(v: Column) -> Column:
@@ -48,6 +50,20 @@ def imputed(features: DataFrame) -> DataFrame:
     return features.crossJoin(F.broadcast(middle)).withColumn("features", fill).drop("m")
 
 
+def imputed_modes(features: DataFrame) -> DataFrame:
+    """Nulls and NaN to the most frequent value of the feature, the smallest of equals."""
+    known = unpivoted(features).where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    modes = known.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "m"))).alias("m"))
+    fill = F.transform("features", lambda v, i: F.when(v.isNull() | F.isnan(v), F.try_element_at("m", i)).otherwise(v))
+    return features.crossJoin(F.broadcast(modes)).withColumn("features", fill).drop("m")  # one row of as many modes as features
+
+
+def normalised(features: DataFrame) -> DataFrame:
+    """Each row's features over their Euclidean length; rows of zeros stay."""
+    size = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, v: s + v * v))
+    return features.withColumn("_size", size).withColumn("features", F.transform("features", lambda v: F.when(F.col("_size") > 0, v / F.col("_size")).otherwise(v))).drop("_size")
+
+
 def standardised(features: DataFrame) -> DataFrame:
     """Features less their mean, over their population deviation; constant ones become 0."""
     each = unpivoted(features).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("dev"))
@@ -60,9 +76,22 @@ def class_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("label").agg(F.count("*").alias("n"))
 
 
+#: Parts of a class, by hash, that are ranked by themselves.
+PARTS = 64
+
+
+def placed(rows: DataFrame, group: str, part: str, *order: str) -> DataFrame:
+    """Adds k, the rank from 1 within the group by (part, order): ranks in each part, after as many rows as the parts before it have."""
+    counts = rows.groupBy(group, part).agg(F.count("*").alias("n"))  # one row per group and part
+    before = F.sum("n").over(Window.partitionBy(group).orderBy(part)) - F.col("n")
+    offsets = counts.select(group, part, before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) + F.col("before")
+    return rows.join(offsets, [group, part]).withColumn("k", rank).drop("before")
+
+
 def _ranked(features: DataFrame, seed: int) -> DataFrame:
-    order = Window.partitionBy("label").orderBy("u", "row_id")
-    return features.withColumn("u", uniform(seed, F.col("row_id"))).withColumn("k", F.row_number().over(order))
+    drawn = features.withColumn("u", uniform(seed, F.col("row_id"))).withColumn("part", F.floor(F.col("u") * PARTS))
+    return placed(drawn, "label", "part", "u", "row_id").drop("part")
 
 
 def with_split(features: DataFrame, seed: int = 0, share: float = 0.3) -> DataFrame:
@@ -82,17 +111,18 @@ def fold_count(features: DataFrame, wanted: int) -> int:
     return min(wanted, class_counts(features).agg(F.min("n")).first()[0] or 0)
 
 
-def embeddings(spark: SparkSession, sf_dir: str, d: int = 16) -> DataFrame:
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows and all dimensions of the embeddings."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.col("vec_id").alias("row_id"), F.transform(F.slice("embedding", 1, d), lambda v: v.cast("double")).alias("features"), "label")
+    return rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"), "label")
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric columns of line items against the return flag; row ids are not unique here, so nothing is joined by them."""
+    """Numeric columns of line items against the return flag."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     values = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), values.alias("features"), label.alias("label"))
+    return rows.select((F.col("l_orderkey") * LINES + F.col("l_linenumber")).alias("row_id"), values.alias("features"), label.alias("label"))
 
 
 def planted(spark: SparkSession, n: int = 240, d: int = 12, seed: int = 5) -> DataFrame:
@@ -112,12 +142,12 @@ def candidate_masks(spark: SparkSession, n: int, d: int) -> DataFrame:
 
 
 #: The same fixtures for SQL oracles.
-def embeddings_sql(d: int = 16) -> str:
+def embeddings_sql(d: int = 64) -> str:
     return f"raw as (select vec_id as row_id, label, f, embedding[f + 1]::double as value from embeddings, range({d}) t(f))"
 
 
 SCALED_SQL = "ranges as (select f, min(value) as lo, max(value) as hi from raw group by f), long as (select row_id, label, f, case when hi > lo then (value - lo) / (hi - lo) else 0 end as value from raw join ranges using (f))"
-LINEITEMS_SQL = "raw as (select l_orderkey * 10 + l_linenumber as row_id, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as label, unnest([0, 1, 2, 3]) as f, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as value from lineitem)"
+LINEITEMS_SQL = "raw as (select l_orderkey * 4294967296 + l_linenumber as row_id, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as label, unnest([0, 1, 2, 3]) as f, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as value from lineitem)"
 
 
 def masks_sql(n: int, d: int) -> str:

@@ -7,10 +7,10 @@ only here, never pairs of data rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.functions.arrays import hamming, mask_key, total
+from maskforge.functions.arrays import clipped, hamming, mask_key, total, velocity
 from maskforge.functions.portable import uniform
 
 
@@ -132,3 +132,115 @@ def rating_entropy(scored: DataFrame, grades: int = 5) -> DataFrame:
     counts = scored.withColumn("grade", grade).groupBy("grade").agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(whole)
     return counts.withColumn("t", -p * F.log(p) / F.log(F.lit(float(grades)))).agg(F.sum("t").alias("entropy"))
+
+
+def draws(seed: str, values: str = "x") -> Column:
+    """A portable uniform number for each element of an array column, by the candidate's id and the place."""
+    return F.transform(values, lambda _, i: uniform(seed, F.col("cand_id"), i))
+
+
+def swarm_step(population: DataFrame, w: float = 0.9, c: float = 2.0, limit: float = 0.5) -> DataFrame:
+    """cand_id, v, x of the next positions; rows have cand_id, x, v, best and lead, and each candidate draws two numbers."""
+    pull = lambda name: c * uniform(name, F.col("cand_id"))
+    moved = population.withColumn("v", velocity(F.col("v"), F.col("x"), F.col("best"), F.col("lead"), w, pull("r1"), pull("r2"), limit))
+    return moved.select("cand_id", "v", clipped(F.zip_with("x", "v", lambda a, b: a + b)).alias("x"))
+
+
+def ring(population: DataFrame, n: int, *ahead: int) -> DataFrame:
+    """``population`` with x1, x2, ...: positions of the candidates so many places further on, round the ids 0 to n - 1."""
+    out = population
+    for k, step in enumerate(ahead, 1):
+        other = population.select(F.pmod(F.col("cand_id") - step, F.lit(n)).alias("cand_id"), F.col("x").alias(f"x{k}"))
+        out = out.join(other, "cand_id")
+    return out
+
+
+def difference_step(population: DataFrame, n: int, scale: float = 0.5, rate: float = 0.9) -> DataFrame:
+    """cand_id, x: elements of x1 + scale (x2 - x3) of the next three candidates where the draw is under the rate, else the own."""
+    rows = ring(population, n, 1, 2, 3).withColumn("gap", F.zip_with("x2", "x3", lambda a, b: scale * (a - b)))
+    mutant = clipped(F.zip_with("x1", "gap", lambda a, g: a + g))
+    rows = rows.withColumn("mutant", mutant).withColumn("u", draws("cross"))
+    return rows.select("cand_id", F.transform("x", lambda v, i: F.when(F.get("u", i) < rate, F.get("mutant", i)).otherwise(v)).alias("x"))
+
+
+def wolf_step(population: DataFrame, leaders: DataFrame) -> DataFrame:
+    """cand_id, x: positions pulled by the three leaders (one row of arrays p1, p2, p3), by the candidate's draws."""
+    u = lambda k: uniform(f"wolf{k}", F.col("cand_id"))
+    pull = lambda i, v: (1.8 * u(1) - 0.9) * (F.get("p1", i) - v) + 2 * u(2) * (F.get("p2", i) - v) + 2 * u(3) * (F.get("p3", i) - v)
+    both = population.crossJoin(F.broadcast(leaders))  # leaders are one row
+    return both.select("cand_id", clipped(F.transform("x", lambda v, i: v + pull(i, v))).alias("x"))
+
+
+def crossover_step(population: DataFrame, n: int, mutation: float = 0.01) -> DataFrame:
+    """cand_id, mask: the own bits up to a drawn cut and the next candidate's after it, with rare turned bits."""
+    rows = ring(population.withColumnRenamed("mask", "x"), n, 1)
+    cut = 1 + F.floor(uniform("cut", F.col("cand_id")) * (F.size("x") - 1))
+    child = F.transform("x", lambda b, i: F.when(i < cut, b).otherwise(F.get("x1", i)))
+    rows = rows.withColumn("child", child).withColumn("u", draws("turn"))
+    return rows.select("cand_id", F.transform("child", lambda b, i: F.when(F.get("u", i) < mutation, 1 - b).otherwise(b)).alias("mask"))
+
+
+def nearest_old(new: DataFrame, old: DataFrame) -> DataFrame:
+    """cand_id, old_id, distance: of each new candidate the old one of least Hamming distance, the least id of equals."""
+    pairs = new.select("cand_id", F.col("mask").alias("a")).crossJoin(old.select(F.col("cand_id").alias("old_id"), F.col("mask").alias("b")))  # candidates, not data rows
+    far = pairs.select("cand_id", "old_id", hamming(F.col("a"), F.col("b")).alias("distance"))
+    return far.groupBy("cand_id").agg(F.min(F.struct("distance", "old_id")).alias("n")).select("cand_id", "n.old_id", "n.distance")
+
+
+def shared_crowding(crowding: DataFrame, group: str) -> DataFrame:
+    """``crowding`` with one score per group: the largest of its members."""
+    return crowding.withColumn("crowding", F.max("crowding").over(Window.partitionBy(group)))
+
+
+def repaired(masks: DataFrame, frequency: DataFrame, size: int) -> DataFrame:
+    """cand_id, mask of exactly ``size`` features: the most frequent of the missing come in, the least frequent of the chosen go out; ties to the smaller number.
+
+    frequency: one row per feature (feature, uses).
+    """
+    bits = masks.select("cand_id", F.posexplode("mask").alias("feature", "bit")).join(F.broadcast(frequency), "feature")
+    order = Window.partitionBy("cand_id").orderBy(F.desc("bit"), F.desc("uses"), "feature")
+    ranked = bits.withColumn("bit", (F.row_number().over(order) <= size).cast("int"))
+    return ranked.groupBy("cand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "bit"))), lambda b: b["bit"]).alias("mask"))
+
+
+def least_similar_mates(elite: DataFrame, others: DataFrame, nmi: DataFrame) -> DataFrame:
+    """cand_id, mate, nmi: each elite candidate's mate among the others by least normalised mutual information (a, b, nmi), the least id of equals."""
+    both = nmi.select("a", "b", "nmi").unionByName(nmi.select(F.col("b").alias("a"), F.col("a").alias("b"), "nmi"))
+    pairs = both.join(elite.select(F.col("cand_id").alias("a")), "a").join(others.select(F.col("cand_id").alias("b")), "b")
+    return pairs.groupBy(F.col("a").alias("cand_id")).agg(F.min(F.struct("nmi", F.col("b").alias("mate"))).alias("m")).select("cand_id", "m.mate", "m.nmi")
+
+
+def swapped_duplicates(masks: DataFrame, seed: str = "swap") -> DataFrame:
+    """cand_id, mask: later copies of a mask have one chosen feature, drawn, exchanged for one that isn't; others stay."""
+    first = Window.partitionBy("key").orderBy("cand_id")
+    rows = masks.withColumn("key", mask_key(F.col("mask"))).withColumn("nth", F.row_number().over(first))
+    place = lambda bit: F.filter(F.transform("mask", lambda b, i: F.when(b == bit, i)), lambda i: i.isNotNull())
+    drawn = lambda items, name: F.get(items, F.floor(uniform(seed, name, F.col("cand_id")) * F.size(items)).cast("int"))
+    rows = rows.withColumn("out", drawn(place(1), "out")).withColumn("in", drawn(place(0), "in"))
+    turned = F.transform("mask", lambda b, i: F.when((F.col("nth") > 1) & F.col("out").isNotNull() & F.col("in").isNotNull() & ((i == F.col("out")) | (i == F.col("in"))), 1 - b).otherwise(b))
+    return rows.select("cand_id", turned.alias("mask"))
+
+
+def distance_to_ideal(objectives: DataFrame) -> DataFrame:
+    """cand_id, distance of (err, ratio), each scaled to 0..1, from the origin."""
+    whole = Window.partitionBy()
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(whole), F.max(c).over(whole) - F.min(c).over(whole)), F.lit(0.0))
+    return objectives.select("cand_id", scaled("err").alias("a"), scaled("ratio").alias("b")).select("cand_id", F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("distance"))
+
+
+def kth_smallest(scored: DataFrame, k: int, value: str = "err") -> DataFrame:
+    """One row: the k-th smallest value, from 0."""
+    order = Window.orderBy(value, "cand_id")  # candidates, not data rows
+    return scored.withColumn("k", F.row_number().over(order)).where(F.col("k") == k + 1).select(F.col(value).alias("value"))
+
+
+def best_of_intervals(scored: DataFrame, bounds: list[int], value: str = "err") -> DataFrame:
+    """interval, best, cand_id: the least value among candidates whose size lies in (bounds[i], bounds[i + 1]], the least id of equals."""
+    upper = F.array(*map(F.lit, bounds[1:]))
+    inside = scored.withColumn("interval", F.size(F.filter(upper, lambda b: b < F.col("n_selected")))).where(F.col("n_selected") > bounds[0])
+    return inside.groupBy("interval").agg(F.min(F.struct(F.col(value).alias("best"), "cand_id")).alias("m")).select("interval", "m.best", "m.cand_id")
+
+
+def division_means(scored: DataFrame, divisions: int, n: int, value: str = "err") -> DataFrame:
+    """division, mean of the values of consecutive candidates."""
+    return scored.groupBy(F.floor(F.col("cand_id") * divisions / n).cast("int").alias("division")).agg(F.avg(value).alias("mean"))

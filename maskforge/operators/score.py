@@ -1,20 +1,19 @@
 """Filter scores of features, from the unpivoted table (row_id, label, feature, value).
 
-Counts and moments are grouped sums; ranks are windows by feature. The matrices
+Counts and moments are grouped sums; ranks are made in parts of a feature's range, cut at
+its approximate quantiles, and are exact. The matrices
 over pairs of features have as many rows as features, squared, not as data rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.operators.evaluate import BROADCAST_BYTES, matrix
-from maskforge.operators.features import unpivoted
+from maskforge.operators.evaluate import BLOCK_BYTES, matrix
+from maskforge.operators.features import PARTS, placed, unpivoted
 
 
 def long(features: DataFrame) -> DataFrame:
@@ -23,9 +22,9 @@ def long(features: DataFrame) -> DataFrame:
 
 def binned(values: DataFrame, bins: int) -> DataFrame:
     """Adds bin: equal-frequency bins by rank, floor(rank * bins / n), ties in row order."""
-    order = Window.partitionBy("feature").orderBy("value", "row_id")
-    whole = Window.partitionBy("feature")
-    return values.withColumn("bin", F.floor((F.row_number().over(order) - 1) * bins / F.count("*").over(whole)).cast("int"))
+    cuts = values.groupBy("feature").agg(F.count("*").alias("n"), F.percentile_approx("value", [p / PARTS for p in range(1, PARTS)], 1000).alias("cuts"))  # one row per feature
+    parted = values.join(F.broadcast(cuts), "feature").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    return placed(parted, "feature", "part", "value", "row_id").withColumn("bin", F.floor((F.col("k") - 1) * bins / F.col("n")).cast("int")).drop("k", "n", "part")
 
 
 def entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -95,17 +94,26 @@ def fisher(features: DataFrame, positive: int = 1) -> DataFrame:
     return g.select("feature", (gap * gap / F.when(spread == 0, 10000.0).otherwise(spread)).alias("score"))
 
 
+def deviations(features: DataFrame) -> DataFrame:
+    """feature and the sample deviation of its values."""
+    return unpivoted(features).groupBy("feature").agg(F.stddev_samp("value").alias("std"))
+
+
 def correlations(features: DataFrame, ranks: bool = False) -> DataFrame:
     """f, g (f < g) and r: Pearson, or with ``ranks`` Spearman with average ranks; 0 where undefined."""
-    values = long(features)
     if ranks:
-        order, tied = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature", "value")
-        values = values.withColumn("value", F.rank().over(order) + (F.count("*").over(tied) - 1) / 2)
-    row = values.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
+        # ranks of distinct values: no window holds more than a feature's distinct values
+        counts = long(features).groupBy("feature", "value").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("feature").orderBy("value"))
+        places = counts.select("feature", F.col("value"), (upto - (F.col("n") - 1) / 2).alias("place"))
+        values = long(features).join(places, ["feature", "value"]).select("row_id", "feature", F.col("place").alias("value"))
+        row = values.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
+    else:
+        row = features.select(F.transform("features", lambda v, i: F.struct(i.alias("feature"), v.alias("value"))).alias("x"))
     left = row.select("x", F.posexplode("x").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("x", F.col("at") + 2, F.size("x"))).alias("b"))
     x, y = F.col("a.value"), F.col("b.value")
-    sums = pairs.groupBy(F.col("a.feature").alias("f"), F.col("b.feature").alias("g")).agg(F.corr(x, y).alias("r"))
+    sums = pairs.groupBy(F.col("a.feature").alias("f"), F.col("b.feature").alias("g")).agg(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))  # null of a constant feature
     return sums.withColumn("r", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))
 
 
@@ -119,37 +127,46 @@ def mean_abs_correlation(features: DataFrame) -> DataFrame:
 
 
 def relieff(features: DataFrame, neighbours: int = 5, samples: int | None = None) -> DataFrame:
-    """feature, weight: misses, weighted by class prior, less hits, over value ranges, averaged over all rows or ``samples`` of least id hash."""
-    spark = features.sparkSession
+    """feature, weight: misses, weighted by class prior, less hits, over value ranges, averaged over all rows or ``samples`` of least id hash.
+
+    Rows are dealt into a grid of blocks; of each block and class the nearest rows of each row come out
+    with their gaps, and the nearest of all blocks are merged by a grouped minimum.
+    """
     n, width = features.agg(F.count("*"), F.max(F.size("features"))).first()
-    if n * (width + 2) * 8 > BROADCAST_BYTES:
-        raise ValueError("the neighbour side is larger than what may be sent to every task; sample it first")
-    rows = sorted(features.select("row_id", "features", "label").collect())
-    x = np.array([r[1] for r in rows], dtype=float)
-    ids, y = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
-    span = x.max(0) - x.min(0)
-    shared = spark.sparkContext.broadcast((ids, x, y, np.where(span == 0, 1.0, span)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, y, span = shared.value
-        names, counts = np.unique(y, return_counts=True)
-        prior = dict(zip(names.tolist(), (counts / counts.sum()).tolist(), strict=True))
-        for batch in batches:
-            total = np.zeros(x.shape[1])
-            for row, own, label in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                d = np.round(np.square(x - own).sum(1), 9)
+    blocks = max(1, -(-n * ((width or 0) + 2) * 8 // BLOCK_BYTES))
+    prior = {r[0]: r[1] / n for r in features.groupBy("label").count().collect()}  # one row per class
+    low_high = unpivoted(features).groupBy("feature").agg((F.max("value") - F.min("value")).alias("span")).collect()  # one row per feature
+    span = [1.0] * (width or 0)
+    for r in low_high:
+        span[r["feature"]] = r["span"] or 1.0
+    rows = features.select("row_id", F.col("features").cast("array<double>").alias("features"), "label")
+    asked = rows if samples is None else rows.orderBy(F.md5(F.col("row_id").cast("string").cast("binary")), "row_id").limit(samples)
+    own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = asked.select("row_id", "features", "label", own.alias("v"), every.alias("t"))
+    right = rows.select(F.col("row_id").alias("id"), F.col("features").alias("x"), F.col("label").alias("c"), every.alias("rv"), own.alias("rt"))
+    schema = "row_id long, label int, c int, d double, id long, gap array<double>"
+
+    def near(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and known.num_rows:
+            known = known.sort_by("id")
+            ids, x, y = known["id"].to_numpy(), matrix(known["x"]), known["c"].to_numpy()
+            for row, values, label in zip(asked["row_id"].to_pylist(), matrix(asked["features"]), asked["label"].to_pylist(), strict=True):
+                d = np.round(np.square(x - values).sum(1), 9)
                 for name in prior:
                     place = np.flatnonzero((y == name) & (ids != row))
                     place = place[np.argsort(d[place], kind="stable")[:neighbours]]
-                    if len(place):
-                        gap = (np.abs(x[place] - own) / span).mean(0)
-                        total += -gap if name == label else prior[name] / (1 - prior[label]) * gap
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["feature", "weight"])
-
-    asked = features.select("row_id", "features", "label")
-    if samples is not None:
-        asked = asked.orderBy(F.md5(F.col("row_id").cast("string").cast("binary")), "row_id").limit(samples)
-    return asked.mapInArrow(run, "feature int, weight double").groupBy("feature").agg((F.sum("weight") / min(n, samples or n)).alias("weight"))
+                    out += [(row, label, name, d[p], ids[p], np.abs(x[p] - values) / span) for p in place.tolist()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+        return pa.table({c.split()[0]: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(schema.split(", "), kinds, strict=True))})
+
+    found = left.groupBy("v", "t").cogroup(right.groupBy("rv", "rt")).applyInArrow(near, schema)
+    best = found.groupBy("row_id", "label", "c").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "gap"))), 1, neighbours).alias("near"))  # few rows of each block
+    share = F.create_map(*[F.lit(v) for kv in prior.items() for v in kv]) if prior else F.create_map()
+    weight = F.when(F.col("label") == F.col("c"), -1.0).otherwise(share[F.col("c")] / (1 - share[F.col("label")])) / F.size("near")
+    gaps = best.select(weight.alias("w"), F.explode("near").alias("x")).select("w", F.posexplode("x.gap").alias("feature", "gap"))
+    return gaps.groupBy("feature").agg((F.sum(F.col("w") * F.col("gap")) / min(n, samples or n)).alias("weight"))
 
 
 def unit(column: str) -> Column:

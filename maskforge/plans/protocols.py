@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskforge.operators.evaluate import nearest, predict, voted
-from maskforge.operators.features import class_counts, fold_count, scaled, with_folds, with_split
+from maskforge.operators.features import fold_count, scaled, with_folds, with_split
 from maskforge.operators.metrics import metrics
 from maskforge.plans.search import LocalScorer, Options, SparkScorer, Task, search
 
@@ -91,21 +91,22 @@ def _run(split: DataFrame, name: str, run: int, o: Options):
 
 def _local(spark: SparkSession, dataset: str, table: DataFrame, todo: Iterable[tuple[str, int, Options]], share: float, folds: int) -> DataFrame:
     todo = list(todo)
-    splits = {}
+    splits, shown = {}, None
     for run in sorted({r for _, r, _ in todo}):
         rows = sorted(_split(table, run, share, folds).select("row_id", "features", "label", "is_valid").collect())
-        splits[run] = (np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
-    shared = spark.sparkContext.broadcast((splits, todo))
+        shown = shown or (np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[0] for r in rows]))
+        splits[run] = np.array([r[3] for r in rows])
+    shared = spark.sparkContext.broadcast((shown, splits, todo))  # the table once, and the flags of each run
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splits, todo = shared.value
+        (x, y, ids), splits, todo = shared.value
         for frame in frames:
             out = []
             for i in frame["id"]:
                 name, run, o = todo[int(i)]
-                x, y, valid = splits[run]
+                valid = splits[run]
                 began = time.time()
-                found = search(name, Task(LocalScorer(x, y, valid)), o.replace(seed=o.seed + run))
+                found = search(name, Task(LocalScorer(x, y, valid, ids)), o.replace(seed=o.seed + run))
                 mask = np.array(found.mask, bool) if any(found.mask) else np.ones(len(found.mask), bool)
                 train = np.flatnonzero(~valid)
                 _, place = nearest(x[valid], x[train], train, mask, o.k)
@@ -124,7 +125,7 @@ def cross_validation(spark: SparkSession, datasets: dict[str, DataFrame], method
     return records(spark, datasets, methods, folds, [options or Options()], folds=folds)
 
 
-def sensitivity(spark: SparkSession, datasets: dict[str, DataFrame], grid: dict[str, list], runs: int = 5, options: Options | None = None, method: str = "QLDGS-PSO-Elite", one_at_a_time: bool = True) -> DataFrame:
+def sensitivity(spark: SparkSession, datasets: dict[str, DataFrame], grid: dict[str, list], runs: int = 5, options: Options | None = None, method: str = "interval_elite_swarm", one_at_a_time: bool = True) -> DataFrame:
     """Records of a parameter grid; each parameter in turn around the first values, or all combinations."""
     options = options or Options()
     first = {k: v[0] for k, v in grid.items()}
@@ -132,9 +133,6 @@ def sensitivity(spark: SparkSession, datasets: dict[str, DataFrame], grid: dict[
     return records(spark, datasets, [method], runs, [options.replace(**p) for p in points])
 
 
-def ablation(spark: SparkSession, datasets: dict[str, DataFrame], runs: int = 5, options: Options | None = None, modes: list[str] | None = None, method: str = "QLDGS-PSO-Elite") -> DataFrame:
+def ablation(spark: SparkSession, datasets: dict[str, DataFrame], runs: int = 5, options: Options | None = None, modes: list[str] | None = None, method: str = "interval_elite_swarm") -> DataFrame:
     return records(spark, datasets, [method], runs, [(options or Options()).replace(mode=m) for m in modes or ABLATION_MODES])
 
-
-def smallest_class(features: DataFrame) -> int:
-    return class_counts(features).agg(F.min("n")).first()[0] or 0

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskforge.functions.portable import uniform, uniform_py
+from maskforge.operators.cluster import mask_error
 from maskforge.operators.evaluate import FITNESS, Prepared, fold_fitness, nearest, predict, voted
+from maskforge.operators.features import with_folds
 from maskforge.operators.metrics import confusion
 
+#: Seed of the folds of both scorers, and of the order of the rows that are learned one by one; how many those are at most.
+FOLD_SEED, LEARN_SEED, LEARN_ROWS = 42, 7, 5_000
+
 
 @dataclass(frozen=True)
 class Options:
-    """n: candidates; rounds: iterations; phi: weight of the error; folds: 0 for the fixed split."""
+    """n: candidates; rounds: iterations; phi: weight of the error; folds: 0 for the fixed split.
+
+    classifier: ``knn``, or a kind of ``operators.classifiers``; func 4 needs no labels
+    (indices of ``clusters`` k-means clusters). Both are scored by jobs, not in a task.
+    """
 
     n: int = 20
     rounds: int = 50
@@ -32,6 +41,8 @@ class Options:
     discount: float = 0.0
     mode: str = "full"
     local_steps: int = 5
+    classifier: str = "knn"
+    clusters: int = 2
 
     def replace(self, **changes) -> Options:
         return dataclasses.replace(self, **changes)
@@ -53,18 +64,25 @@ class Found:
 
 
 class LocalScorer:
-    """Cost of masks over a table that fits one task; for many independent runs side by side."""
+    """Cost of masks over a table that fits one task; for many independent runs side by side.
+
+    ids: row ids in ascending order (default: places); folds are dealt by their portable hash, as over a DataFrame.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, ids: np.ndarray | None = None):
         self.x, self.y, self.valid = np.asarray(x, float), np.asarray(y), np.asarray(valid, bool)
         self.d = self.x.shape[1]
+        self.ids = np.arange(len(self.y)) if ids is None else ids
 
     def errors(self, masks: np.ndarray, options: Options) -> np.ndarray:
+        if options.classifier != "knn" or options.func == 4:
+            raise ValueError("this classifier or fitness is scored by jobs; use SparkScorer")
         if options.folds:
             place = np.zeros(len(self.y), int)
+            draw = np.array([uniform_py(FOLD_SEED, i) for i in self.ids.tolist()])
             for name in np.unique(self.y):
                 rows = np.flatnonzero(self.y == name)
-                place[rows] = np.arange(len(rows)) % options.folds
+                place[rows[np.lexsort((self.ids[rows], draw[rows]))]] = np.arange(len(rows)) % options.folds
             parts = [place == f for f in range(options.folds)]
         else:
             parts = [self.valid]
@@ -108,6 +126,10 @@ class SparkScorer:
     def errors(self, masks: np.ndarray, options: Options) -> np.ndarray:
         rows = [(i, [int(b) for b in m]) for i, m in enumerate(masks)]
         candidates = self.split.sparkSession.createDataFrame(rows, "cand_id int, mask array<int>")
+        if options.func == 4:
+            return np.array([mask_error(self.split, m, options.clusters) for _, m in rows])
+        if options.classifier != "knn":
+            return np.array([self._classified(m, options) for _, m in rows])
         if options.folds:
             got = fold_fitness(self.split.drop("is_valid"), candidates, options.folds, options.k, options.phi, options.func)
             by = {r["cand_id"]: r["error"] for r in got.select("cand_id", "error").collect()}
@@ -123,21 +145,35 @@ class SparkScorer:
         return np.array(out)
 
 
+    def _classified(self, mask: list[int], options: Options) -> float:
+        from maskforge.operators.classifiers import predictions
+
+        parts = [self.split]
+        if options.folds:
+            dealt = with_folds(self.split.drop("is_valid"), options.folds, FOLD_SEED)
+            parts = [dealt.withColumn("is_valid", F.col("fold") == f).drop("fold") for f in range(options.folds)]
+        errors = []
+        for part in parts:
+            cells = confusion(predictions(part, options.classifier, mask, options.seed), []).collect()  # as many as classes, squared
+            y, p, n = np.array(sorted((r["y"], r["p"], r["n"]) for r in cells)).T
+            errors.append(hard_error(y, p, options.func, n))
+        return float(np.mean(errors))
+
+
 def scorer_for(split: DataFrame, limit: int = 64 << 20) -> LocalScorer | SparkScorer:
     """Scores where the table is: in this process if it has at most ``limit`` bytes, else by jobs."""
     n, d = split.agg(F.count("*"), F.max(F.size("features"))).first()
     if n * ((d or 0) + 3) * 8 > limit:
         return SparkScorer(split)
     rows = sorted(split.select("row_id", "features", "label", "is_valid").collect())
-    return LocalScorer(np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+    return LocalScorer(np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows]))
 
 
 class Task:
     """A table to search: scores masks, remembers them, and keeps the best and the curve."""
 
-    def __init__(self, scorer: LocalScorer | SparkScorer, table: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, scorer: LocalScorer | SparkScorer):
         self.scorer, self.d = scorer, scorer.d
-        self._table = table
         self.prepared(Options())
 
     def prepared(self, options: Options) -> Task:
@@ -146,11 +182,14 @@ class Task:
         self.best, self.cost, self.curve, self.scored = np.ones(self.d, bool), np.inf, [], 0
         return self
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Features and labels for methods that look at values: the local table, or a bounded sample of a large one."""
+    def sample(self) -> tuple[np.ndarray, np.ndarray]:
+        """Features and labels of at most ``LEARN_ROWS`` rows, those of least portable hash, for methods that learn row by row; the same at any size."""
         if isinstance(self.scorer, LocalScorer):
-            return self.scorer.x, self.scorer.y
-        rows = self.scorer.split.orderBy(F.md5(F.col("row_id").cast("string").cast("binary"))).limit(5_000).select("features", "label").collect()
+            ids = self.scorer.ids.tolist()
+            some = np.array(sorted(range(len(ids)), key=lambda i: (uniform_py(LEARN_SEED, ids[i]), ids[i]))[:LEARN_ROWS])
+            return self.scorer.x[some], self.scorer.y[some]
+        order = uniform(LEARN_SEED, F.col("row_id")), F.col("row_id")
+        rows = self.scorer.split.orderBy(*order).limit(LEARN_ROWS).select("features", "label").collect()
         return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
 
     def score(self, masks: np.ndarray) -> np.ndarray:

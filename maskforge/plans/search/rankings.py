@@ -6,7 +6,7 @@ import numpy as np
 
 from maskforge.plans.search import method
 from maskforge.plans.search.base import Found, Options, Task, resampled
-from maskforge.plans.search.values import bins_of, codes_of, entropy, unit
+from maskforge.plans.search.values import codes_of, moments, redundancy_ratio, unit
 
 
 def prefixes(task: Task, ranking: np.ndarray, longest: int) -> Found:
@@ -22,11 +22,7 @@ def prefixes(task: Task, ranking: np.ndarray, longest: int) -> Found:
 @method("inf")
 def infinite(task: Task, o: Options) -> Found:
     """Energy of all paths over the graph of class separation and spread."""
-    x, y = task.table()
-    one = y == np.unique(y)[-1]
-    var = x[one].var(0, ddof=1) + x[~one].var(0, ddof=1) if one.sum() > 1 and (~one).sum() > 1 else np.zeros(task.d)
-    gap = np.square(x[one].mean(0) - x[~one].mean(0)) / np.where(var == 0, 10000.0, var)
-    std = x.std(0, ddof=1)
+    gap, std = moments(task)
     graph = 0.5 * unit(np.outer(gap, gap)) + 0.5 * unit(np.maximum(std[:, None], std[None]))
     energy = np.linalg.inv(np.eye(task.d) - 0.9 / (np.abs(np.linalg.eigvals(graph)).max() or 1.0) * graph).sum(1)
     return prefixes(task, np.argsort(-energy, kind="stable"), min(o.rounds, task.d))
@@ -35,18 +31,12 @@ def infinite(task: Task, o: Options) -> Found:
 @method("mrmra")
 def least_redundant(task: Task, o: Options) -> Found:
     """Binned information with the label over the mean with the other features."""
-    x, y = task.table()
-    b, labels = bins_of(x), codes_of(y)
-    h = [entropy(b[:, f]) for f in range(task.d)]
-    mutual = lambda f, codes, hc: max(0.0, h[f] + hc - entropy(b[:, f].astype(np.int64) * 1_000_003 + codes))
-    hy = entropy(labels)
-    score = [mutual(f, labels, hy) / (np.mean([mutual(f, b[:, g], h[g]) for g in range(task.d) if g != f] or [0.0]) + 1e-6) for f in range(task.d)]
-    return prefixes(task, np.argsort(-np.array(score), kind="stable"), min(o.rounds, task.d))
+    return prefixes(task, np.argsort(-np.round(redundancy_ratio(task), 9), kind="stable"), min(o.rounds, task.d))
 
 
 def learned_weights(task: Task, inside: np.ndarray, passes: int = 3) -> np.ndarray:
     """Linear action values of each class, learned sample by sample with rewards for right classes; features' summed sizes."""
-    x, y = task.table()
+    x, y = task.sample()
     labels = codes_of(y)
     w = np.zeros((labels.max() + 1, task.d))
     for _ in range(passes):

@@ -7,9 +7,9 @@ import math
 import numpy as np
 
 from maskforge.plans.search import method
-from maskforge.plans.search.base import Found, Options, Task, correlated, positions, resampled, roulette
+from maskforge.plans.search.base import Found, Options, Task, positions, resampled, roulette
 from maskforge.plans.search.swarms import Bests, exemplars, fly
-from maskforge.plans.search.values import adaptive, bins_of, codes_of, relevance, uncertainty
+from maskforge.plans.search.values import adaptive, correlations, moments, pair_uncertainties, relevance, uncertainties
 
 
 class Single:
@@ -117,16 +117,7 @@ def leader_adaptive(task: Task, o: Options) -> Found:
     """Learns from exemplars or a leader by stagnation; elites lose features that another makes redundant and gain relevant ones."""
     o = o.replace(phi=min(o.phi, 0.9))
     task.options = o
-    table, y = task.table()
-    binned, labels = bins_of(table), codes_of(y)
-    own = np.array([uncertainty(binned[:, f], labels) for f in range(task.d)])
-    known: dict[tuple[int, int], float] = {}
-
-    def pair(f: int, g: int) -> float:
-        key = (min(f, g), max(f, g))
-        if key not in known:
-            known[key] = uncertainty(binned[:, f], binned[:, g])
-        return known[key]
+    own, both = uncertainties(task), pair_uncertainties(task)
 
     x = positions(task)
     bests, stall = Bests(x, np.full(o.n, np.inf)), np.zeros(o.n, int)
@@ -140,7 +131,7 @@ def leader_adaptive(task: Task, o: Options) -> Found:
             for f in sorted(np.flatnonzero(mask), key=lambda f: -own[f]):
                 if mask[f]:
                     for g in np.flatnonzero(mask):
-                        if g != f and own[g] <= own[f] and pair(int(f), int(g)) >= own[g]:
+                        if g != f and own[g] <= own[f] and both[f, g] >= own[g]:
                             mask[g] = False
             if not mask.any():
                 mask[own.argmax()] = True
@@ -183,9 +174,9 @@ def strategy_learning(task: Task, o: Options) -> Found:
 @method("godcpso")
 def regularised_sizes(task: Task, o: Options) -> Found:
     """A swarm over weights of relevance, spread and redundancy ranks features; sizes of each ranking are scored."""
-    table, _ = task.table()
-    spread, own = table.std(0) / (table.std(0).max() or 1.0), relevance(task)
-    like = correlated(table)
+    spread, own = moments(task)[1], relevance(task)
+    spread = spread / (spread.max() or 1.0)
+    like = correlations(task)
     d = task.d
     sizes = sorted({min(d, max(1, s)) for s in [*(math.ceil(d * r) for r in (0.1, 0.2, 0.3, 0.5)), int(math.sqrt(d)), int(0.25 * d), int(0.4 * d)]})
     x = task.rng.random((o.n, 4))

@@ -7,8 +7,8 @@ import math
 import numpy as np
 
 from maskforge.plans.search import method
-from maskforge.plans.search.base import Found, Options, Task, correlated, positions, resampled, roulette, sigmoid
-from maskforge.plans.search.values import relevance, relief_weights
+from maskforge.plans.search.base import Found, Options, Task, positions, resampled, roulette, sigmoid
+from maskforge.plans.search.values import correlations, relevance, relief_weights
 
 
 @method("all")
@@ -89,8 +89,7 @@ def bare_bones(task: Task, o: Options) -> Found:
 @method("HPSOLS")
 def with_local_search(task: Task, o: Options) -> Found:
     """Swarm over sigmoid bits whose masks are brought to a drawn size: dissimilar features first in, similar ones first out."""
-    x, _ = task.table()
-    like = (correlated(x).sum(0) - 1) / max(1, task.d - 1)
+    like = (correlations(task).sum(0) - 1) / max(1, task.d - 1)
     sizes = np.arange(1, task.d + 1)
     size = 1 + roulette(task.rng, (task.d - sizes + 1).astype(float))
 
@@ -410,22 +409,27 @@ def grey_wolves(task: Task, o: Options) -> Found:
     return task.found()
 
 
-@method("tmgwo", "FTMGWO")
-def two_phase_wolves(task: Task, o: Options) -> Found:
-    """Encircling moves through |tanh|, then two mutations of the leader: features out, then features in."""
+def wolves_with_mutation(task: Task, o: Options, many: bool) -> Found:
+    """Encircling moves through |tanh|, then mutations of the leader: features out, then features in.
+
+    many: all drawn bits of a phase turn at once, as one mask, and a bit is set where
+    the draw reaches the chance; otherwise each drawn bit is a mask of its own, and a
+    bit is set where the draw stays under it.
+    """
     x = (task.rng.random((o.n, task.d)) > 0.5).astype(float)
     pack, chance = Pack(task.d), 0.5 if task.d < 100 else 0.3 if task.d < 1000 else 0.05
     for t in range(o.rounds):
         pack.take(x, task.score(x > 0.5))
         a = 2 - 2 * t / o.rounds
         pull = [p - (2 * a * task.rng.random(x.shape) - a) * np.abs(2 * task.rng.random(x.shape) * p - x) for p in pack.x]
-        x = (task.rng.random(x.shape) < np.abs(np.tanh(np.mean(pull, 0)))).astype(float)
+        under = task.rng.random(x.shape) < np.abs(np.tanh(np.mean(pull, 0)))
+        x = (~under if many else under).astype(float)
         lead = pack.x[0] > 0.5
         for out in (True, False):
             flips = np.flatnonzero((lead == out) & (task.rng.random(task.d) < chance))
             if len(flips):
-                trial = np.repeat(lead[None], len(flips), 0)
-                trial[np.arange(len(flips)), flips] = not out
+                trial = np.repeat(lead[None], 1 if many else len(flips), 0)
+                trial[0 if many else np.arange(len(flips)), flips] = not out
                 now = task.score(trial)
                 if now.min() < pack.cost[0]:
                     lead = trial[now.argmin()]
@@ -434,6 +438,16 @@ def two_phase_wolves(task: Task, o: Options) -> Found:
     return task.found()
 
 
+@method("tmgwo")
+def two_phase_wolves(task: Task, o: Options) -> Found:
+    return wolves_with_mutation(task, o, many=False)
+
+
+@method("fast_tmgwo")
+def fast_two_phase_wolves(task: Task, o: Options) -> Found:
+    return wolves_with_mutation(task, o, many=True)
+
+
 def salps(task: Task, o: Options, lead=None, follow=None, start: np.ndarray | None = None, after=None) -> Found:
     """Salp chain: a leader around the food, each follower between itself and the one before it."""
     x, food, cost = positions(task) if start is None else start, np.zeros(task.d), np.inf
@@ -459,7 +473,7 @@ def salp_swarm(task: Task, o: Options) -> Found:
     return salps(task, o)
 
 
-@method("essa", "FESSA", "QBSO")
+@method("essa", "fast_essa", "reward_essa")
 def enhanced_salps(task: Task, o: Options) -> Found:
     lead = lambda t: 2 * np.exp(-((task.rng.uniform(0, 50, task.d) * (t + 1) / o.rounds) ** 2))
     return salps(task, o, lead, lambda: task.rng.random())

@@ -33,7 +33,7 @@ def test_unknown_names_and_modes(table):
     with pytest.raises(KeyError):
         search("none", Task(LocalScorer(*table)))
     with pytest.raises(ValueError):
-        search("QLDGS-GA", Task(LocalScorer(*table)), Options(mode="none"))
+        search("interval_ga", Task(LocalScorer(*table)), Options(mode="none"))
 
 
 def test_scorers_agree(spark, table):
@@ -41,11 +41,34 @@ def test_scorers_agree(spark, table):
     rows = [(i, [float(v) for v in x[i]], int(y[i]), bool(valid[i])) for i in range(len(y))]
     split = spark.createDataFrame(rows, "row_id long, features array<double>, label int, is_valid boolean")
     masks = np.array([[1] * 12, [0, 0, 1, 0, 0, 1, 0, 0, 1, 0, 0, 0], [1] + [0] * 11])
-    for func in (0, 1, 2):
-        o = Options(func=func)
+    for func, folds in ((0, 0), (1, 0), (2, 0), (0, 5)):
+        o = Options(func=func, folds=folds)
         assert np.allclose(SparkScorer(split).errors(masks, o), LocalScorer(x, y, valid).errors(masks, o))
 
 
+@pytest.mark.parametrize("name", ["HPSOLS", "igpso", "inf", "mrmra", "qlfs", "lapsodr", "godcpso", "CUSSPSO"])
+def test_value_guided_methods_agree(spark, table, name):
+    """The same result whether a table is scored in this process or by jobs."""
+    x, y, valid = table
+    rows = [(i, [float(v) for v in x[i]], int(y[i]), bool(valid[i])) for i in range(len(y))]
+    split = spark.createDataFrame(rows, "row_id long, features array<double>, label int, is_valid boolean")
+    o = Options(n=4, rounds=2, seed=3)
+    here, there = (search(name, Task(s), o) for s in (LocalScorer(*table), SparkScorer(split)))
+    assert here.mask == there.mask and np.allclose(here.curve, there.curve)
+
+
+def test_classifiers_and_unlabelled_fitness(spark, table):
+    x, y, valid = table
+    rows = [(i, [float(v) for v in x[i]], int(y[i]), bool(valid[i])) for i in range(len(y))]
+    split = spark.createDataFrame(rows, "row_id long, features array<double>, label int, is_valid boolean")
+    masks = np.array([[0, 0, 1, 0, 0, 1, 0, 0, 1, 0, 0, 0], [1] + [0] * 11])
+    error = SparkScorer(split).errors(masks, Options(classifier="dt"))
+    assert error[0] < error[1]
+    assert np.isfinite(SparkScorer(split).errors(masks, Options(func=4))).all()
+    with pytest.raises(ValueError):
+        LocalScorer(*table).errors(masks, Options(classifier="dt"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 400), st.integers(0, 400), st.integers(0, 1 << 30))
 def test_pruned_has_the_size(d, k, seed):
