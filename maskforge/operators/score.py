@@ -22,9 +22,12 @@ def long(features: DataFrame) -> DataFrame:
 
 def binned(values: DataFrame, bins: int) -> DataFrame:
     """Adds bin: equal-frequency bins by rank, floor(rank * bins / n), ties in row order."""
-    cuts = values.groupBy("feature").agg(F.count("*").alias("n"), F.percentile_approx("value", [p / PARTS for p in range(1, PARTS)], 1000).alias("cuts"))  # one row per feature
-    parted = values.join(F.broadcast(cuts), "feature").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    return placed(parted, "feature", "part", "value", "row_id").withColumn("bin", F.floor((F.col("k") - 1) * bins / F.col("n")).cast("int")).drop("k", "n", "part")
+    cuts = values.groupBy("feature").agg(F.count("*").alias("n"), F.percentile_approx("value", [p / PARTS for p in range(1, PARTS)], 4 * PARTS).alias("cuts"))  # one row per feature
+    parted, step = values.join(F.broadcast(cuts), "feature").withColumn("part", F.lit(0)), PARTS // 2
+    while step:  # binary search for the number of cuts under the value
+        parted = parted.withColumn("part", F.col("part") + F.when(F.col("value") > F.get("cuts", F.col("part") + (step - 1)), step).otherwise(0))
+        step //= 2
+    return placed(parted.drop("cuts"), "feature", "part", "value", "row_id").withColumn("bin", F.floor((F.col("k") - 1) * bins / F.col("n")).cast("int")).drop("k", "n", "part")
 
 
 def entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
