@@ -220,8 +220,9 @@ def _with_text(assigned: DataFrame, docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents with doc_id, n_shingles, rep; links between representatives as (u, v) that keep every component)."""
     sign = written(signed(docs, k, percent), "signed")
-    classes = sign.where("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
-    known = sign.join(classes, "set_digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    classes = sign.where("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    several = hinted(written(classes.where("n > 1").drop("n"), "several"))  # a document alone in its class is its own
+    known = sign.join(several, "set_digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     known = written(known.withColumn("keys", F.when(F.col("rep") == F.col("doc_id"), F.col("keys"))).drop("set_digest"), "classes")
     postings = known.where("keys is not null").select("rep", "n_shingles", F.explode("keys").alias("key"))
     heads = written(postings.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
