@@ -30,6 +30,6 @@ def search(name: str, task: Task, options: Options | None = None) -> Found:
     return run(task.prepared(options), options)
 
 
-from maskforge.plans.search import interval, rankings, single, swarms  # noqa: E402, F401
+from maskforge.plans.search import interval, rankings, single, staged, swarms  # noqa: E402, F401
 
 __all__ = ["METHODS", "Found", "LocalScorer", "Options", "SparkScorer", "Task", "method", "scorer_for", "search"]

@@ -74,6 +74,14 @@ class LocalScorer:
         self.d = self.x.shape[1]
         self.ids = np.arange(len(self.y)) if ids is None else ids
 
+    def rows(self) -> int:
+        return int((~self.valid).sum())
+
+    def sampled(self, share: float, seed: int) -> LocalScorer:
+        """With the training rows whose portable hash is under the share, and all validation rows."""
+        keep = self.valid | np.array([uniform_py("level", seed, i) < share for i in self.ids.tolist()])
+        return LocalScorer(self.x[keep], self.y[keep], self.valid[keep], self.ids[keep])
+
     def errors(self, masks: np.ndarray, options: Options) -> np.ndarray:
         if options.classifier != "knn" or options.func == 4:
             raise ValueError("this classifier or fitness is scored by jobs; use SparkScorer")
@@ -123,6 +131,12 @@ class SparkScorer:
         self.d = self.split.select(F.max(F.size("features"))).first()[0]
         self.prepared = None
 
+    def rows(self) -> int:
+        return self.split.where(~F.col("is_valid")).count()
+
+    def sampled(self, share: float, seed: int) -> SparkScorer:
+        return SparkScorer(self.split.where(F.col("is_valid") | (uniform("level", seed, F.col("row_id")) < share)))
+
     def errors(self, masks: np.ndarray, options: Options) -> np.ndarray:
         rows = [(i, [int(b) for b in m]) for i, m in enumerate(masks)]
         candidates = self.split.sparkSession.createDataFrame(rows, "cand_id int, mask array<int>")
@@ -182,14 +196,20 @@ class Task:
         self.best, self.cost, self.curve, self.scored = np.ones(self.d, bool), np.inf, [], 0
         return self
 
+    def on_sample(self, share: float, seed: int) -> Task:
+        """The same task over a sample of the training rows; it draws from this task's generator."""
+        part = Task(self.scorer.sampled(share, seed)).prepared(self.options)
+        part.rng = self.rng
+        return part
+
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Features and labels of at most ``LEARN_ROWS`` rows, those of least portable hash, for methods that learn row by row; the same at any size."""
+        """Features and labels of at most ``LEARN_ROWS`` training rows, those of least portable hash, for methods that learn row by row; the same at any size."""
         if isinstance(self.scorer, LocalScorer):
             ids = self.scorer.ids.tolist()
-            some = np.array(sorted(range(len(ids)), key=lambda i: (uniform_py(LEARN_SEED, ids[i]), ids[i]))[:LEARN_ROWS])
+            some = np.array(sorted(np.flatnonzero(~self.scorer.valid).tolist(), key=lambda i: (uniform_py(LEARN_SEED, ids[i]), ids[i]))[:LEARN_ROWS])
             return self.scorer.x[some], self.scorer.y[some]
         order = uniform(LEARN_SEED, F.col("row_id")), F.col("row_id")
-        rows = self.scorer.split.orderBy(*order).limit(LEARN_ROWS).select("features", "label").collect()
+        rows = self.scorer.split.where(~F.col("is_valid")).orderBy(*order).limit(LEARN_ROWS).select("features", "label").collect()
         return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
 
     def score(self, masks: np.ndarray) -> np.ndarray:

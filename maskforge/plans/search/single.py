@@ -9,7 +9,11 @@ import numpy as np
 from maskforge.plans.search import method
 from maskforge.plans.search.base import Found, Options, Task, positions, resampled, roulette
 from maskforge.plans.search.swarms import Bests, exemplars, fly
-from maskforge.plans.search.values import adaptive, correlations, moments, pair_uncertainties, relevance, uncertainties
+from maskforge.plans.search.learned import GRAPH_ROWS, factor_weights, forest_importance
+from maskforge.plans.search.values import adaptive, codes_of, pair_uncertainties, uncertainties, unit
+
+#: Features that a forest leaves to ``spfsr``.
+HOT = 75
 
 
 class Single:
@@ -89,12 +93,25 @@ def hierarchy(task: Task, o: Options) -> Found:
 
 @method("spfsr")
 def stochastic_gradient(task: Task, o: Options) -> Found:
-    """Simultaneous perturbation with averaged gradients, Barzilai-Borwein gains, clipped changes and a stall limit."""
-    w, before, gradient_before, stall = np.full(task.d, 0.5), None, None, 0
+    """Simultaneous perturbation with averaged gradients, Barzilai-Borwein gains, clipped changes and a stall limit.
+
+    It works on the ``HOT`` features that a forest finds most important, and starts from their importances.
+    """
+    rows, y = task.sample()
+    importance = forest_importance(task.rng, rows, codes_of(y))
+    active = np.sort(np.argsort(-importance, kind="stable")[:HOT])
+    w, before, gradient_before, stall = 0.4 + 0.2 * unit(importance[active]), None, None, 0
+
+    def masks_of(points):
+        masks = np.zeros((len(np.atleast_2d(points)), task.d), bool)
+        masks[:, active] = np.atleast_2d(points) >= 0.5
+        return masks
+
+    task.score(masks_of(w))
     for _ in range(o.rounds):
-        turns = task.rng.choice([-1.0, 1.0], (4, task.d))
+        turns = task.rng.choice([-1.0, 1.0], (4, len(active)))
         both = np.concatenate((w + 0.05 * turns, w - 0.05 * turns))
-        cost = task.score(both >= 0.5)
+        cost = task.score(masks_of(both))
         gradient = ((cost[:4] - cost[4:])[:, None] / (0.1 * turns)).mean(0)
         gain = 0.5
         if before is not None:
@@ -103,13 +120,13 @@ def stochastic_gradient(task: Task, o: Options) -> Found:
         before, gradient_before = w, gradient
         w = np.clip(w - np.clip(gain * gradient, -0.2, 0.2), 0, 1)
         last = task.cost
-        task.score(w >= 0.5)
+        task.score(masks_of(w))
         stall = 0 if task.cost < last else stall + 1
         task.note()
         if stall >= 35:
             break
     task.curve = resampled(task.curve, o.rounds)
-    return task.found(weights=w.tolist())
+    return task.found(weights=w.tolist(), active=active.tolist())
 
 
 @method("lapsodr")
@@ -173,24 +190,18 @@ def strategy_learning(task: Task, o: Options) -> Found:
 
 @method("godcpso")
 def regularised_sizes(task: Task, o: Options) -> Found:
-    """A swarm over weights of relevance, spread and redundancy ranks features; sizes of each ranking are scored."""
-    spread, own = moments(task)[1], relevance(task)
-    spread = spread / (spread.max() or 1.0)
-    like = correlations(task)
-    d = task.d
+    """Features ranked by a factorisation on neighbour graphs, whose weights a swarm tunes; sizes of the ranking are scored."""
+    x, y = task.sample()
+    weight = factor_weights(task.rng, x[:GRAPH_ROWS], codes_of(y[:GRAPH_ROWS]), o.n, o.rounds)
+    order, d = np.argsort(-weight, kind="stable"), task.d
     sizes = sorted({min(d, max(1, s)) for s in [*(math.ceil(d * r) for r in (0.1, 0.2, 0.3, 0.5)), int(math.sqrt(d)), int(0.25 * d), int(0.4 * d)]})
-    x = task.rng.random((o.n, 4))
-    bests = Bests(x, np.full(o.n, np.inf))
-    for _ in range(o.rounds):
-        rank = np.argsort(-(x[:, :1] * own + x[:, 1:2] * spread - x[:, 2:3] * like.mean(0) + 0.1 * x[:, 3:] * own * spread), axis=1, kind="stable")
-        masks = np.zeros((o.n, len(sizes), d), bool)
-        for i in range(o.n):
-            for j, s in enumerate(sizes):
-                masks[i, j, rank[i, :s]] = True
-        bests.take(x, task.score(masks.reshape(-1, d)).reshape(o.n, -1).min(1))
+    for s in sizes:
+        mask = np.zeros(d, bool)
+        mask[order[:s]] = True
+        task.score(mask)
         task.note()
-        x = np.clip(x + task.rng.random(x.shape) * (bests.x - x) + task.rng.random(x.shape) * (bests.lead - x), 0, 1)
-    return task.found(sizes=sizes)
+    task.curve = resampled(task.curve, o.rounds)
+    return task.found(sizes=sizes, ranking=order.tolist())
 
 
 def search_area(best: np.ndarray, flip: int, n: int) -> list[np.ndarray]:

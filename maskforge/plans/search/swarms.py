@@ -8,7 +8,8 @@ import numpy as np
 
 from maskforge.plans.search import method
 from maskforge.plans.search.base import Found, Options, Task, positions, resampled, roulette, sigmoid
-from maskforge.plans.search.values import correlations, relevance, relief_weights
+from maskforge.plans.search.learned import gate_importance
+from maskforge.plans.search.values import codes_of, correlations, relevance, relief_weights
 
 
 @method("all")
@@ -157,8 +158,9 @@ def correlation_guided(task: Task, o: Options) -> Found:
 
 @method("igpso")
 def importance_guided(task: Task, o: Options) -> Found:
-    """Bits turn with a chance that grows with the distance to both bests and falls with importance."""
-    weight = np.clip(relevance(task), 0.1, 0.9)
+    """Bits turn with a chance that grows with the distance to both bests and falls with the importance that a gated network learns."""
+    x, y = task.sample()
+    weight = gate_importance(task.rng, x, codes_of(y))
     x = task.rng.random((o.n, task.d)) < weight
     best, cost = x.copy(), np.full(o.n, np.inf)
     for _ in range(o.rounds):
@@ -187,7 +189,8 @@ def exemplars(task: Task, bests: Bests) -> np.ndarray:
     return np.take_along_axis(bests.x, np.where(use, other, np.arange(n)[:, None]), 0)
 
 
-@method("VLPSO", "vlpso1")
+@method("VLPSO")
+@method("vlpso1", n=100)
 def variable_length(task: Task, o: Options) -> Found:
     """Particles see the first features of a ranking, in divisions of different lengths; after stalls the best division's length caps the others'."""
     order = np.argsort(-relevance(task), kind="stable")
@@ -265,32 +268,6 @@ def entropy_controlled(task: Task, o: Options) -> Found:
     return task.found()
 
 
-@method("SAGA")
-def chc(task: Task, o: Options) -> Found:
-    """Half-uniform crossover of unlike parents, elitist survival, and a restart from the best when parents are all alike."""
-    x = task.rng.random((o.n, task.d)) > 0.5
-    cost, limit = task.score(x), task.d / 4
-    for _ in range(o.rounds):
-        order, children = task.rng.permutation(o.n), []
-        for i, j in zip(order[::2], order[1::2], strict=False):
-            unlike = np.flatnonzero(x[i] ^ x[j])
-            if len(unlike) / 2 > limit:
-                swap = task.rng.choice(unlike, len(unlike) // 2, replace=False)
-                a, b = x[i].copy(), x[j].copy()
-                a[swap], b[swap] = x[j][swap], x[i][swap]
-                children += [a, b]
-        if children:
-            x, cost = survive(x, cost, np.array(children), task.score(np.array(children)), o.n)
-        else:
-            limit -= 1
-        if limit < 0:
-            x = task.best ^ (task.rng.random(x.shape) < 0.35)
-            x[0] = task.best
-            cost, limit = task.score(x), task.d / 4
-        task.note()
-    return task.found()
-
-
 def rivals(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
     return np.array([rng.choice([j for j in range(n) if j != i], k, replace=False) for i in range(n)]).T
 
@@ -347,7 +324,7 @@ def distinct_best(x: np.ndarray, cost: np.ndarray, threshold: float, n: int, ste
     return x[keep], cost[keep]
 
 
-@method("NMDE", "FCNDE", threshold=0.6)
+@method("NMDE", threshold=0.6)
 def multiobjective(task: Task, o: Options) -> Found:
     """Error and size as two objectives: fronts first, then crowding among masks."""
     x = positions(task, max(6, o.n))
@@ -540,7 +517,7 @@ def whales(task: Task, o: Options) -> Found:
     return task.found()
 
 
-@method("bfo", "srbfo")
+@method("bfo")
 def bacteria(task: Task, o: Options) -> Found:
     """Swims while it gets better, the better half doubles, and a quarter is dispersed at random."""
     x = positions(task)

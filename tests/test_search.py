@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from maskforge.plans.search import METHODS, LocalScorer, Options, SparkScorer, Task, interval, search
+from maskforge.plans.search import METHODS, LocalScorer, Options, SparkScorer, Task, interval, learned, search, staged
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,30 @@ def test_finds_planted_features(table):
     assert {2, 5, 8} <= {i for i, b in enumerate(found.mask) if b}
 
 
+def test_models_weigh_planted_features():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 6))
+    y = (x[:, 1] + x[:, 4] > 1).astype(int)
+    for weight in (learned.forest_importance(rng, x, y), learned.gate_importance(rng, x, y)):
+        assert set(np.argsort(-weight)[:2]) == {1, 4}
+    assert (learned.gate_importance(rng, x, y * 0) == 0.5).all()
+    # two groups that only features 0 and 3 tell apart; the others are nearly constant
+    z = np.where(np.isin(np.arange(6), (0, 3)), (np.arange(80) % 2)[:, None], 0.01) + 0.01 * rng.random((80, 6))
+    assert set(np.argsort(-learned.factor_weights(rng, z, np.arange(80) % 2, 6, 20))[:2]) == {0, 3}
+
+
+def test_like_features_share_a_group():
+    like = np.eye(4)
+    like[0, 2] = like[2, 0] = 0.9
+    assert [g.tolist() for g in staged.like_groups(np.array([0.5, 0.4, 0.3, 0.0]), like)] == [[0, 2], [1]]
+
+
+def test_levels_of_the_surrogate(table):
+    x, y, valid = (np.concatenate([t] * 5) for t in table)
+    found = search("SAGA", Task(LocalScorer(x, y, valid)), Options(n=8, rounds=20, seed=1))
+    assert found.extra["levels"] > 1 and found.extra["scored_on_samples"] > 0 and len(found.curve) == 20
+
+
 def test_unknown_names_and_modes(table):
     with pytest.raises(KeyError):
         search("none", Task(LocalScorer(*table)))
@@ -46,7 +70,7 @@ def test_scorers_agree(spark, table):
         assert np.allclose(SparkScorer(split).errors(masks, o), LocalScorer(x, y, valid).errors(masks, o))
 
 
-@pytest.mark.parametrize("name", ["HPSOLS", "igpso", "inf", "mrmra", "qlfs", "lapsodr", "godcpso", "CUSSPSO"])
+@pytest.mark.parametrize("name", ["HPSOLS", "igpso", "inf", "mrmra", "qlfs", "lapsodr", "godcpso", "CUSSPSO", "spfsr", "SAGA", "FCNDE"])
 def test_value_guided_methods_agree(spark, table, name):
     """The same result whether a table is scored in this process or by jobs."""
     x, y, valid = table
