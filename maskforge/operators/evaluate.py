@@ -176,6 +176,24 @@ def fold_fitness(features: DataFrame, candidates: DataFrame, folds: int = 5, k:
     return _costed(candidates, parts.groupBy("cand_id").agg(F.avg("error").alias("error")), phi)
 
 
+def resampled_accuracy(splits: list[DataFrame], candidates: DataFrame, k: int = 1, pooled: bool = False) -> DataFrame:
+    """cand_id, n_selected, accuracy over several splits: the mean of their accuracies, or of all predictions if pooled; 0 for an empty mask."""
+    parts = None
+    for i, split in enumerate(splits):
+        part = predict(split, candidates, k).groupBy("cand_id").agg(F.sum((F.col("y") == F.col("p")).cast("long")).alias("right"), F.count("*").alias("n")).withColumn("split", F.lit(i))
+        parts = part if parts is None else parts.unionByName(part)
+    mean = F.sum("right") / F.sum("n") if pooled else F.avg(F.col("right") / F.col("n"))
+    sized = candidates.select(F.col("cand_id").cast("long").alias("cand_id"), n_selected(F.col("mask")).alias("n_selected"), F.size("mask").alias("d"))
+    found = sized.join(parts.groupBy("cand_id").agg(mean.alias("accuracy")), "cand_id", "left")
+    return found.select("cand_id", "n_selected", "d", F.when(F.col("n_selected") > 0, F.col("accuracy")).otherwise(0.0).alias("accuracy"))
+
+
+def weighed(found: DataFrame, alpha: float = 0.88) -> DataFrame:
+    """alpha * accuracy - (1 - alpha) * share of features, 0 for an empty mask; larger is better."""
+    score = alpha * F.col("accuracy") - (1 - alpha) * F.col("n_selected") / F.col("d")
+    return found.withColumn("score", F.when(F.col("n_selected") > 0, score).otherwise(0.0))
+
+
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidates, one of each mask, whose mask was not scored before (``seen`` has mask_key)."""
     keyed = candidates.withColumn("mask_key", mask_key(F.col("mask")))

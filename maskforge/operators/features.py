@@ -106,6 +106,23 @@ def with_folds(features: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     return _ranked(features, seed).withColumn("fold", F.pmod(F.col("k") - 1, F.lit(folds)).cast("int")).drop("u", "k")
 
 
+def shuffled_split(features: DataFrame, seed: int, share: float = 0.1) -> DataFrame:
+    """Adds is_valid: of all rows, whatever their class, the share of least hash, rounded up."""
+    n = features.agg(F.count("*").alias("n"))
+    ranked = _ranked(features.withColumn("_class", F.col("label")).withColumn("label", F.lit(0)), seed)
+    return ranked.crossJoin(F.broadcast(n)).withColumn("is_valid", F.col("k") <= F.ceil(F.round(F.col("n") * share, 9))).withColumn("label", F.col("_class")).drop("_class", "u", "k", "n")
+
+
+def plain_folds(features: DataFrame, folds: int, seed: int = 42) -> DataFrame:
+    """Adds fold: consecutive rows in hash order, whatever their class; the first n % folds folds have one more."""
+    n = features.agg(F.count("*").alias("n"))
+    ranked = _ranked(features.withColumn("_class", F.col("label")).withColumn("label", F.lit(0)), seed).crossJoin(F.broadcast(n))
+    place, size, more = F.col("k") - 1, F.floor(F.col("n") / folds), F.pmod(F.col("n"), F.lit(folds))
+    after = more + F.floor((place - more * (size + 1)) / F.greatest(size, F.lit(1)))
+    fold = F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(after)
+    return ranked.withColumn("fold", fold.cast("int")).withColumn("label", F.col("_class")).drop("_class", "u", "k", "n")
+
+
 def fold_count(features: DataFrame, wanted: int) -> int:
     """The wanted folds, at most the size of the smallest class; under 2 there is no cross-validation."""
     return min(wanted, class_counts(features).agg(F.min("n")).first()[0] or 0)

@@ -125,14 +125,14 @@ def cross_validation(spark: SparkSession, datasets: dict[str, DataFrame], method
     return records(spark, datasets, methods, folds, [options or Options()], folds=folds)
 
 
-def sensitivity(spark: SparkSession, datasets: dict[str, DataFrame], grid: dict[str, list], runs: int = 5, options: Options | None = None, method: str = "interval_elite_swarm", one_at_a_time: bool = True) -> DataFrame:
+def sensitivity(spark: SparkSession, datasets: dict[str, DataFrame], grid: dict[str, list], runs: int = 5, options: Options | None = None, method: str = "interval_elite_swarm", one_at_a_time: bool = True, share: float = 0.3) -> DataFrame:
     """Records of a parameter grid; each parameter in turn around the first values, or all combinations."""
     options = options or Options()
     first = {k: v[0] for k, v in grid.items()}
     points = [first | {k: v} for k, values in grid.items() for v in values] if one_at_a_time else [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
-    return records(spark, datasets, [method], runs, [options.replace(**p) for p in points])
+    return records(spark, datasets, [method], runs, [options.replace(**p) for p in points], share)
 
 
-def ablation(spark: SparkSession, datasets: dict[str, DataFrame], runs: int = 5, options: Options | None = None, modes: list[str] | None = None, method: str = "interval_elite_swarm") -> DataFrame:
-    return records(spark, datasets, [method], runs, [(options or Options()).replace(mode=m) for m in modes or ABLATION_MODES])
+def ablation(spark: SparkSession, datasets: dict[str, DataFrame], runs: int = 5, options: Options | None = None, modes: list[str] | None = None, method: str = "interval_elite_swarm", share: float = 0.3) -> DataFrame:
+    return records(spark, datasets, [method], runs, [(options or Options()).replace(mode=m) for m in modes or ABLATION_MODES], share)
 

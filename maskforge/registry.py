@@ -172,6 +172,45 @@ def kfold_fitness(spark, sf_dir):
     return rounded(evaluate.fold_fitness(feat.scaled(feat.embeddings(spark, sf_dir)), feat.candidate_masks(spark, 5, D), folds=3))
 
 
+def _resampled_sql(valid: str, numbers: str, pooled: bool, columns: str) -> str:
+    """One nearest neighbour over several splits of all rows; ``valid`` says of a row's place (k from 1, of n) whether split s holds it out."""
+    mean = "sum(hit) / sum(n)" if pooled else "avg(hit / n)"
+    return f"""{EMB}, {feat.masks_sql(3, D)}, sized as (select cand_id, sum(bit)::int as n_selected from masks group by cand_id),
+all_rows as (select distinct row_id, label from raw), splits as (select unnest({numbers}) as s),
+held as (select s, row_id, label, {valid} as is_valid from (select s, row_id, label, row_number() over (partition by s order by u, row_id) as k, count(*) over (partition by s) as n from (select s, row_id, label, {uniform_sql('42' if pooled else 's', 'row_id')} as u from all_rows, splits))),
+pairs as (select m.cand_id, v.row_id as a, t.row_id as b, round(sum((v.value - t.value) * (v.value - t.value)), 9) as d from masks m join long v on v.f = m.f join long t on t.f = m.f where m.bit = 1 group by all),
+best as (select p.cand_id, h.s, p.a, h.label as y, min((p.d, p.b)) as near from pairs p join held h on h.row_id = p.a and h.is_valid join held g on g.row_id = p.b and g.s = h.s and not g.is_valid group by all),
+part as (select cand_id, s, sum((y = label)::int) as hit, count(*) as n from best join all_rows on row_id = near[2] group by all),
+found as (select cand_id, n_selected, coalesce(accuracy, 0) as accuracy from sized left join (select cand_id, {mean} as accuracy from part group by cand_id) using (cand_id))
+select cand_id::bigint as cand_id, n_selected, {columns} from found"""
+
+
+def few_masks(spark: SparkSession) -> DataFrame:
+    return feat.candidate_masks(spark, 3, D)
+
+
+@query("shuffle_split_accuracy", _resampled_sql("k <= ceil(round(n * 0.1, 9))", "range(10)", False, "round(accuracy, 6) as accuracy"))
+def shuffle_split_accuracy(spark, sf_dir):
+    rows = feat.scaled(feat.embeddings(spark, sf_dir))
+    return rounded(evaluate.resampled_accuracy([feat.shuffled_split(rows, s) for s in range(10)], few_masks(spark))).drop("d")
+
+
+@query("ninety_ten_accuracy", _resampled_sql("k <= ceil(round(n * 0.1, 9))", "[0]", False, f"round(accuracy, 6) as accuracy, round(case when n_selected > 0 then 0.88 * accuracy - 0.12 * n_selected / {D} else 0 end, 6) as score"))
+def ninety_ten_accuracy(spark, sf_dir):
+    rows = feat.scaled(feat.embeddings(spark, sf_dir))
+    return rounded(evaluate.weighed(evaluate.resampled_accuracy([feat.shuffled_split(rows, 0)], few_masks(spark)))).drop("d")
+
+
+@query("plain_fold_cost", _resampled_sql("case when k - 1 < (n % 10) * (n // 10 + 1) then (k - 1) // (n // 10 + 1) else n % 10 + (k - 1 - (n % 10) * (n // 10 + 1)) // greatest(n // 10, 1) end = s", "range(10)", True, f"round(1 - accuracy, 6) as error, round(0.9 * (1 - accuracy) + 0.1 * n_selected / {D}, 6) as fitness"))
+def plain_fold_cost(spark, sf_dir):
+    """One nearest neighbour over ten unstratified folds, and 0.9 of its error with 0.1 of the share of features."""
+    dealt = feat.plain_folds(feat.scaled(feat.embeddings(spark, sf_dir)), 10)
+    splits = [dealt.withColumn("is_valid", F.col("fold") == f).drop("fold") for f in range(10)]
+    found = evaluate.resampled_accuracy(splits, few_masks(spark), pooled=True)
+    error = 1 - F.col("accuracy")
+    return found.select("cand_id", "n_selected", r6(error, "error"), r6(0.9 * error + 0.1 * F.col("n_selected") / F.col("d"), "fitness"))
+
+
 @query("unseen_masks", f"with {feat.masks_sql(N_MASKS, D)}, k as (select cand_id, string_agg(bit, '' order by f) as mask_key from masks group by cand_id) select mask_key, min(cand_id)::int as cand_id from k where mask_key not in (select mask_key from k where cand_id < 4) group by mask_key")
 def unseen_masks(spark, sf_dir):
     masks = masks_of(spark)

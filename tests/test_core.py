@@ -100,3 +100,18 @@ def test_windows_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     to_memory(windowed(stream, "ts", "1 day", "1 day", ["event_type"]), "days", str(tmp_path / "c")).awaitTermination()
     assert spark.table("days").count() == windowed(events, "ts", "1 day", "1 day", ["event_type"]).count()
+
+
+def test_command_line(spark, tmp_path):
+    from maskforge.__main__ import main
+
+    rows = [(float(i % 7), float(i % 2), float(i * i % 5), "b" if i % 2 else "a") for i in range(40)]
+    spark.createDataFrame(rows, "x double, y double, z double, kind string").coalesce(1).write.option("header", True).csv(str(tmp_path / "in" / "toy.csv"))
+    small = ["--runs", "1", "--population", "4", "--iterations", "3", "--interval-iterations", "2"]
+    main(["ablation", str(tmp_path / "in"), str(tmp_path / "ablation"), "--modes", "full", "baseline", "--interval-num", "2", *small], spark)
+    main(["sensitivity", str(tmp_path / "in"), str(tmp_path / "sweep"), "--phi", "0.9,0.99", "--ql-lr", "0.2", "--ql-gamma", "0.0", "--interval-num", "2", *small], spark)
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / name))
+    assert sorted(r["mode"] for r in read("ablation").collect()) == ["baseline", "full"] and read("ablation_summary").count() == 2
+    assert read("sweep").count() == 7 and {"runs", "accuracy_mean", "nf_std"} <= set(read("sweep_summary").columns)
+    with pytest.raises(SystemExit):
+        main(["ablation", str(tmp_path / "none"), str(tmp_path / "out")], spark)
