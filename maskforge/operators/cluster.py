@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskforge.functions.arrays import euclidean, selected
+from maskforge.functions.portable import uniform
 from maskforge.operators.evaluate import BLOCK_BYTES, matrix
+from maskforge.operators.features import normalised
+from maskforge.operators.score import information
 
 PLACES = 9
 #: Rows of a block whose distances are held at once.
@@ -140,6 +143,111 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, rounds: int = 50, distance:
     return KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure=distance).fit(vectors).transform(vectors).select("row_id", F.col("prediction").alias("cluster"))
 
 
+#: Most numbers that the centres of all replicates may have; they go to every task.
+MAX_CENTRES = 1 << 22
+
+
+def replicated_kmeans(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, replicates: int = 3, distance: str = "euclidean") -> DataFrame:
+    """row_id, cluster of the replicate with the least sum of distances.
+
+    A replicate starts from the k rows of least portable hash. Each round ends in one
+    grouped sum for all replicates, in which tasks add up their rows first; a cluster that lost
+    all rows takes the row that is farthest from its own centre. With ``cosine`` rows and
+    centres have length 1. Ties go to the smaller cluster and row.
+    """
+    rows = points.select("row_id", F.col("features").cast("array<double>").alias("features"))
+    if distance == "cosine":
+        rows = normalised(rows)
+    starts = [rows.orderBy(uniform(f"start{seed}", F.lit(r), F.col("row_id")), "row_id").limit(k).collect() for r in range(replicates)]
+    if len(starts[0]) < k:
+        raise ValueError(f"{k} clusters need {k} rows")
+    now = np.array([[x["features"] for x in sorted(s, key=lambda x: x["row_id"])] for s in starts], float)
+    if now.size > MAX_CENTRES:
+        raise ValueError(f"{now.size} numbers of centres are more than {MAX_CENTRES}")
+    for _ in range(rounds):
+        new, n = _moved(rows, now, distance)
+        for r, empty in ((r, np.flatnonzero(n[r] == 0)) for r in range(replicates)):
+            if len(empty):
+                far = _placed(rows, now[[r]], distance).orderBy(F.desc(F.round("distance", PLACES)), "row_id").limit(len(empty)).collect()
+                for c, row in zip(empty, far, strict=True):
+                    x, old = np.array(row["features"]), row["cluster"]
+                    new[r, old] -= x
+                    n[r, old] -= 1
+                    new[r, c], n[r, c] = x, 1
+        new /= np.maximum(n, 1)[:, :, None]
+        if distance == "cosine":
+            size = np.sqrt(np.square(new).sum(2, keepdims=True))
+            new = new / np.where(size == 0, 1.0, size)
+        still = np.abs(new - now).max() < 1e-12
+        now = new
+        if still:
+            break
+    total = _placed(rows, now, distance).groupBy("replicate").agg(F.sum("distance").alias("total"))
+    best = min(total.collect(), key=lambda r: (round(r["total"], PLACES), r["replicate"]))["replicate"]
+    return _placed(rows, now[[best]], distance).select("row_id", "cluster")
+
+
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, distance: str) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, distance) of rows; equal distances after rounding go to the smaller cluster."""
+    if distance == "cosine":
+        d = 1 - x @ centres.T
+    else:
+        d = np.stack([np.sqrt(np.square(x - c).sum(1)) for c in centres], 1)
+    place = np.round(d, PLACES).argmin(1)
+    return place, d[np.arange(len(x)), place]
+
+
+def _placed(rows: DataFrame, centres_of: np.ndarray, distance: str) -> DataFrame:
+    """replicate, row_id, features, cluster, distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            x = matrix(batch.column(1))
+            for r, c in enumerate(centres_of):
+                place, d = _nearest_centres(x, c, distance)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r, np.int32)), batch.column(0), batch.column(1), pa.array(place.astype(np.int32)), pa.array(d)], names=["replicate", "row_id", "features", "cluster", "distance"])
+
+    return rows.select(F.col("row_id").cast("long").alias("row_id"), "features").mapInArrow(run, "replicate int, row_id long, features array<double>, cluster int, distance double")
+
+
+def _moved(rows: DataFrame, centres_of: np.ndarray, distance: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of the rows of each replicate's clusters."""
+    replicates, k, d = centres_of.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((replicates * k, d)), np.zeros(replicates * k, np.int64)
+        for batch in (b for b in batches if b.num_rows):
+            x = matrix(batch.column(0))
+            for r, c in enumerate(centres_of):
+                place = r * k + _nearest_centres(x, c, distance)[0]
+                np.add.at(sums, place, x)
+                n += np.bincount(place, minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(sums[some].tolist(), pa.list_(pa.float64()))], names=["at", "n", "total"])
+
+    parts = rows.select("features").mapInArrow(run, "at int, n long, total array<double>")
+    sums, n = np.zeros((replicates * k, d)), np.zeros(replicates * k, np.int64)
+    summed = parts.select("at", "n", F.posexplode("total").alias("f", "v")).groupBy("at", "f").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    for at, f, v, m in summed.collect():  # as many as centres have numbers
+        sums[at, f], n[at] = v, m
+    return sums.reshape(replicates, k, d), n.reshape(replicates, k)
+
+
+def smoothed_information(pairs: DataFrame) -> DataFrame:
+    """One row: mutual information of cluster and label over the larger of their entropies, 0 if neither varies.
+
+    Where one side has more distinct values, each of them is counted once more with itself on both sides.
+    """
+    joint = pairs.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    a, b = joint.agg(F.countDistinct("cluster"), F.countDistinct("label")).first()
+    if a != b:
+        more = joint.select(F.col("cluster" if a > b else "label").alias("cluster")).distinct()
+        joint = joint.unionByName(more.select("cluster", F.col("cluster").alias("label"), F.lit(1).cast("long").alias("n")))
+        joint = joint.groupBy("cluster", "label").agg(F.sum("n").alias("n"))
+    found = information(joint.withColumn("one", F.lit(1)), ["one"], "cluster", "label")
+    return found.select(F.coalesce(F.try_divide(F.col("mi"), F.greatest("hx", "hy")), F.lit(0.0)).alias("information"))
+
+
 def silhouette(points: DataFrame) -> DataFrame:
     """One row: mean Euclidean silhouette of the labels; rows alone in their class count 0."""
     names = sorted(r[0] for r in points.select("label").distinct().collect())  # one row per class

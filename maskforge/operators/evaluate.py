@@ -194,6 +194,17 @@ def weighed(found: DataFrame, alpha: float = 0.88) -> DataFrame:
     return found.withColumn("score", F.when(F.col("n_selected") > 0, score).otherwise(0.0))
 
 
+def restricted(candidates: DataFrame, features: list[int]) -> DataFrame:
+    """cand_id and mask without the bits of features that aren't in the list."""
+    kept = F.array(*map(F.lit, sorted(features)))
+    return candidates.select("cand_id", F.transform("mask", lambda b, i: F.when(F.array_contains(kept, i), b).otherwise(0)).alias("mask"))
+
+
+def gain(found: DataFrame) -> DataFrame:
+    """cand_id, n_selected and 1 - fitness, which is to be raised."""
+    return found.select("cand_id", "n_selected", (1 - F.round("fitness", 6)).alias("score"))
+
+
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidates, one of each mask, whose mask was not scored before (``seen`` has mask_key)."""
     keyed = candidates.withColumn("mask_key", mask_key(F.col("mask")))

@@ -37,7 +37,7 @@ def entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return sums.select(*keys, (F.log2("_n") - F.col("_s") / F.col("_n")).alias("h"))
 
 
-def _information(joint: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def information(joint: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, hx, hy, mi of two discrete columns from their joint counts n."""
     hx = entropy(joint.groupBy(*keys, x).agg(F.sum("n").alias("n")), keys).withColumnRenamed("h", "hx")
     hy = entropy(joint.groupBy(*keys, y).agg(F.sum("n").alias("n")), keys).withColumnRenamed("h", "hy")
@@ -53,7 +53,7 @@ def uncertainty() -> Column:
 def label_information(features: DataFrame, bins: int = 10) -> DataFrame:
     """feature, mi and su (symmetrical uncertainty) with the label."""
     joint = binned(long(features), bins).groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
-    return _information(joint, ["feature"], "bin", "label").select("feature", "mi", uncertainty().alias("su"))
+    return information(joint, ["feature"], "bin", "label").select("feature", "mi", uncertainty().alias("su"))
 
 
 def pair_information(features: DataFrame, bins: int = 10) -> DataFrame:
@@ -63,7 +63,7 @@ def pair_information(features: DataFrame, bins: int = 10) -> DataFrame:
     left = row.select("x", F.posexplode("x").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("x", F.col("at") + 2, F.size("x"))).alias("b"))
     joint = pairs.groupBy(F.col("a.feature").alias("f"), F.col("b.feature").alias("g"), F.col("a.bin").alias("x"), F.col("b.bin").alias("y")).agg(F.count("*").alias("n"))
-    return _information(joint, ["f", "g"], "x", "y").select("f", "g", "mi", uncertainty().alias("su"))
+    return information(joint, ["f", "g"], "x", "y").select("f", "g", "mi", uncertainty().alias("su"))
 
 
 def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
@@ -194,7 +194,7 @@ def nmi_binary(masks: DataFrame) -> DataFrame:
     bits = masks.select("cand_id", F.posexplode("mask").alias("f", "bit"))
     pairs = bits.alias("x").join(bits.alias("y"), (F.col("x.f") == F.col("y.f")) & (F.col("x.cand_id") < F.col("y.cand_id")))
     joint = pairs.groupBy(F.col("x.cand_id").alias("a"), F.col("y.cand_id").alias("b"), F.col("x.bit").alias("p"), F.col("y.bit").alias("q")).agg(F.count("*").alias("n"))
-    got = _information(joint, ["a", "b"], "p", "q")
+    got = information(joint, ["a", "b"], "p", "q")
     return got.select("a", "b", F.when((F.col("hx") > 0) & (F.col("hy") > 0), F.col("mi") / F.sqrt(F.col("hx") * F.col("hy"))).otherwise(0.0).alias("nmi"))
 
 
@@ -203,20 +203,38 @@ def infinite_scores(features: DataFrame, alpha: float = 0.5, supervised: bool =
 
     The moments and correlations are grouped sums; only d and d * d numbers come to the driver.
     """
-    moments = {r[0]: r for r in long(features).groupBy("feature").agg(F.stddev_samp("value"), F.avg(F.when(F.col("label") == 1, F.col("value"))), F.avg(F.when(F.col("label") != 1, F.col("value"))), F.var_samp(F.when(F.col("label") == 1, F.col("value"))), F.var_samp(F.when(F.col("label") != 1, F.col("value")))).collect()}
-    d = len(moments)
+    moments = _moments(features)
+    relation = None
+    if not supervised:
+        relation = np.eye(len(moments))
+        for r in correlations(features, ranks=True).collect():
+            relation[r["f"], r["g"]] = relation[r["g"], r["f"]] = r["r"]
+    return sorted(enumerate(_energies(moments, relation, alpha).tolist()), key=lambda e: (-e[1], e[0]))
+
+
+def graph_scores(features: DataFrame, masks: list[tuple[int, list[int]]], alpha: float = 0.5) -> list[tuple[int, float]]:
+    """(cand_id, minus the mean energy of the chosen features in the graph of these alone), 0 for an empty mask; the table is read once."""
+    moments, out = _moments(features), []
+    for name, mask in masks:
+        chosen = np.flatnonzero(mask)
+        out.append((name, -float(_energies(moments[chosen], None, alpha).mean()) if len(chosen) else 0.0))
+    return out
+
+
+def _moments(features: DataFrame) -> np.ndarray:
+    """Deviation, means of label 1 and the others, and their variances, a row for each feature."""
+    value, one = F.col("value"), F.col("label") == 1
+    moments = {r[0]: r for r in long(features).groupBy("feature").agg(F.stddev_samp("value"), F.avg(F.when(one, value)), F.avg(F.when(~one, value)), F.var_samp(F.when(one, value)), F.var_samp(F.when(~one, value))).collect()}
+    return np.array([[float(v or 0.0) for v in moments[f][1:]] for f in sorted(moments)])
+
+
+def _energies(table: np.ndarray, relation: np.ndarray | None, alpha: float) -> np.ndarray:
+    """Energy of all paths through each feature; without a relation, that of class separation."""
     unit_matrix = lambda m: (m - m.min()) / (np.ptp(m) or 1.0)
-    table = np.array([[float(v or 0.0) for v in moments[f][1:]] for f in sorted(moments)])
-    if supervised:
+    if relation is None:
         spread = table[:, 3] + table[:, 4]
         gap = np.square(table[:, 1] - table[:, 2]) / np.where(spread == 0, 10000.0, spread)
         relation = unit_matrix(np.outer(gap, gap))
-    else:
-        relation = np.eye(d)
-        for r in correlations(features, ranks=True).collect():
-            relation[r["f"], r["g"]] = relation[r["g"], r["f"]] = r["r"]
-    spread = unit_matrix(np.maximum(table[:, 0][:, None], table[:, 0][None, :]))
-    graph = alpha * relation + (1 - alpha) * spread
+    graph = alpha * relation + (1 - alpha) * unit_matrix(np.maximum(table[:, 0][:, None], table[:, 0][None, :]))
     radius = np.abs(np.linalg.eigvals(graph)).max() or 1.0
-    energy = (np.linalg.inv(np.eye(d) - 0.9 / radius * graph) - np.eye(d)).sum(1)
-    return sorted(enumerate(energy.tolist()), key=lambda e: (-e[1], e[0]))
+    return (np.linalg.inv(np.eye(len(table)) - 0.9 / radius * graph) - np.eye(len(table))).sum(1)

@@ -10,7 +10,7 @@ from maskforge.plans.search import method
 from maskforge.plans.search.base import Found, Options, Task, positions, resampled, roulette
 from maskforge.plans.search.swarms import Bests, exemplars, fly
 from maskforge.plans.search.learned import GRAPH_ROWS, factor_weights, forest_importance
-from maskforge.plans.search.values import adaptive, codes_of, pair_uncertainties, uncertainties, unit
+from maskforge.plans.search.values import adaptive, codes_of, entropy, pair_uncertainties, uncertainties, unit
 
 #: Features that a forest leaves to ``spfsr``.
 HOT = 75
@@ -161,22 +161,62 @@ def leader_adaptive(task: Task, o: Options) -> Found:
     return task.found()
 
 
+def chaotic(task: Task, n: int) -> np.ndarray:
+    """n positions of a logistic map that starts at random."""
+    out = np.empty((n, task.d))
+    now = task.rng.random(task.d) * 0.9 + 0.05
+    for i in range(n):
+        now = out[i] = 4 * now * (1 - now)
+    return out
+
+
+def bits_within(x: np.ndarray, inside: np.ndarray, threshold: float) -> np.ndarray:
+    """Masks of positions over some features, with the first of these where a mask would be empty."""
+    bits = (x > threshold) & inside
+    bits[~bits.any(1), np.flatnonzero(inside)[0]] = True
+    return bits
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information of two masks' bits over the root of their entropies; 0 if one doesn't vary."""
+    p, q = a.astype(int), b.astype(int)
+    ha, hb = entropy(p), entropy(q)
+    return (ha + hb - entropy(2 * p + q)) / math.sqrt(ha * hb) if ha and hb else 0.0
+
+
+def mated(task: Task, x: np.ndarray, inside: np.ndarray, o: Options) -> np.ndarray:
+    """The better half of the positions, each replaced by the better of two children of uniform crossover with its least similar mate among the others, if that is no worse; no mate is taken twice."""
+    masks_of = lambda p: bits_within(p, inside, o.threshold)
+    cost = task.score(masks_of(x))
+    order = np.argsort(cost, kind="stable")
+    best, others = x[order[: o.n]].copy(), x[order[o.n :]]
+    own, free = masks_of(best), masks_of(others)
+    left, children = list(range(len(others))), []
+    for i in range(len(best)):
+        j = left.pop(int(np.argmin([likeness(own[i][inside], free[j][inside]) for j in left])))
+        take = task.rng.random(task.d) < 0.5
+        children += [np.where(take, best[i], others[j]), np.where(take, others[j], best[i])]
+    children = np.array(children).reshape(len(best), 2, task.d)
+    costs = task.score(masks_of(children.reshape(-1, task.d))).reshape(-1, 2)
+    better, place = costs.min(1) <= cost[order[: o.n]], costs.argmin(1)
+    best[better] = children[better, place[better]]
+    return best
+
+
 @method("rlpsoasm", threshold=0.6)
 def strategy_learning(task: Task, o: Options) -> Found:
-    """A swarm over well-scored features whose candidates choose between three ways to learn, by softmax of learned values."""
+    """A swarm over well-scored features whose candidates choose between three ways to learn, by softmax of learned values.
+
+    It starts from the better half of random and chaotic positions, each of which takes the
+    best of itself and its children with its least similar mate of the other half.
+    """
     inside = np.zeros(task.d, bool)
     inside[adaptive(task)] = True
-    chaos = task.rng.random(task.d) * 0.9 + 0.05
-    x = positions(task)
-    for i in range(o.n // 2):
-        chaos = 4 * chaos * (1 - chaos)
-        x[i] = chaos
+    x = mated(task, np.concatenate((positions(task), chaotic(task, o.n))), inside, o)
     bests, q, state = Bests(x, np.full(o.n, np.inf)), np.zeros((2, 3)), 0
     for _ in range(o.rounds):
         before = task.cost
-        bits = (x > o.threshold) & inside
-        bits[~bits.any(1), np.flatnonzero(inside)[0]] = True
-        bests.take(x, task.score(bits))
+        bests.take(x, task.score(bits_within(x, inside, o.threshold)))
         task.note()
         chance = np.exp(q[state] - q[state].max())
         action = roulette(task.rng, chance)

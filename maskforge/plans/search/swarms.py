@@ -294,7 +294,7 @@ def differential(task: Task, o: Options) -> Found:
 
 @method("NDEDA", threshold=0.6)
 def niching(task: Task, o: Options) -> Found:
-    """Mutants come from the best of each candidate's Hamming niche; equal masks go, and near ties go to the smaller subset."""
+    """Mutants come from the best of each candidate's Hamming niche, and swap features if their mask is there already; equal masks go, and near ties go to the smaller subset."""
     x = positions(task, max(6, o.n))
     cost = task.score_positions(x)
     for _ in range(o.rounds):
@@ -304,12 +304,31 @@ def niching(task: Task, o: Options) -> Found:
         lead = np.take_along_axis(niche, cost[niche].argmin(1)[:, None], 1)[:, 0]
         a, b = rivals(task.rng, len(x), 2)
         trial = crossed(task.rng, x, np.clip(x + 0.5 * (x[lead] - x) + 0.5 * (x[a] - x[b]), 0, 1), 0.5)
+        trial = unlike(task.rng, trial, masks, o.threshold)
         every, costs = np.concatenate((x, trial)), np.concatenate((cost, task.score_positions(trial)))
         x, cost = distinct_best(every, costs, o.threshold, len(x))
         task.note()
     return task.found()
 
 
+def unlike(rng: np.random.Generator, trial: np.ndarray, masks: np.ndarray, threshold: float, tries: int = 2) -> np.ndarray:
+    """``trial`` in which candidates whose mask stands in ``masks``, or earlier in ``trial``, swap as many chosen features for others, up to ``tries`` times.
+
+    At most half of the chosen features go. Masks without a chosen feature, or with all, stay.
+    """
+    out, seen = trial.copy(), {m.tobytes() for m in masks}
+    for x in out:
+        for _ in range(tries):
+            on, off = np.flatnonzero(x > threshold), np.flatnonzero(x <= threshold)
+            if (x > threshold).tobytes() not in seen or not len(on) or not len(off):
+                break
+            n = rng.integers(1, max(1, min(len(on) // 2, len(off))) + 1)
+            x[rng.choice(on, n, replace=False)] = rng.uniform(0, threshold, n)
+            x[rng.choice(off, n, replace=False)] = rng.uniform(np.nextafter(threshold, 1), 1, n)
+        seen.add((x > threshold).tobytes())
+    return out
+
+
 def distinct_best(x: np.ndarray, cost: np.ndarray, threshold: float, n: int, step: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
     """n candidates by cost in steps, then size; of equal masks the surest; the rest by cost if too few differ."""
     masks = x > threshold
@@ -517,21 +536,26 @@ def whales(task: Task, o: Options) -> Found:
     return task.found()
 
 
+#: Swims between two reproductions of ``bfo``, and reproductions of a round.
+SWIMS, BIRTHS = 5, 2
+
+
 @method("bfo")
 def bacteria(task: Task, o: Options) -> Found:
-    """Swims while it gets better, the better half doubles, and a quarter is dispersed at random."""
+    """Swims while it gets better, after some swims the better half doubles, and at the end of a round a quarter is dispersed at random."""
     x = positions(task)
     cost = task.score_positions(x)
     for _ in range(o.rounds):
-        for _ in range(3):
-            way = task.rng.normal(size=x.shape)
-            way /= np.linalg.norm(way, axis=1, keepdims=True)
-            trial = np.clip(x + 0.3 * way, 0, 1)
-            now = task.score_positions(trial)
-            better = now < cost
-            x[better], cost[better] = trial[better], now[better]
-        half = np.argsort(cost, kind="stable")[: (len(x) + 1) // 2]
-        x, cost = np.concatenate((x[half], x[half]))[: o.n], np.concatenate((cost[half], cost[half]))[: o.n]
+        for _ in range(BIRTHS):
+            for _ in range(SWIMS):
+                way = task.rng.normal(size=x.shape)
+                way /= np.linalg.norm(way, axis=1, keepdims=True)
+                trial = np.clip(x + 0.3 * way, 0, 1)
+                now = task.score_positions(trial)
+                better = now < cost
+                x[better], cost[better] = trial[better], now[better]
+            half = np.argsort(cost, kind="stable")[: (len(x) + 1) // 2]
+            x, cost = np.concatenate((x[half], x[half]))[: o.n], np.concatenate((cost[half], cost[half]))[: o.n]
         lost = np.flatnonzero(task.rng.random(len(x)) < 0.25)
         lost = lost[lost > 0]
         if len(lost):

@@ -172,12 +172,12 @@ def kfold_fitness(spark, sf_dir):
     return rounded(evaluate.fold_fitness(feat.scaled(feat.embeddings(spark, sf_dir)), feat.candidate_masks(spark, 5, D), folds=3))
 
 
-def _resampled_sql(valid: str, numbers: str, pooled: bool, columns: str) -> str:
+def _resampled_sql(valid: str, numbers: str, pooled: bool, columns: str, seed: str | None = None) -> str:
     """One nearest neighbour over several splits of all rows; ``valid`` says of a row's place (k from 1, of n) whether split s holds it out."""
     mean = "sum(hit) / sum(n)" if pooled else "avg(hit / n)"
     return f"""{EMB}, {feat.masks_sql(3, D)}, sized as (select cand_id, sum(bit)::int as n_selected from masks group by cand_id),
 all_rows as (select distinct row_id, label from raw), splits as (select unnest({numbers}) as s),
-held as (select s, row_id, label, {valid} as is_valid from (select s, row_id, label, row_number() over (partition by s order by u, row_id) as k, count(*) over (partition by s) as n from (select s, row_id, label, {uniform_sql('42' if pooled else 's', 'row_id')} as u from all_rows, splits))),
+held as (select s, row_id, label, {valid} as is_valid from (select s, row_id, label, row_number() over (partition by s order by u, row_id) as k, count(*) over (partition by s) as n from (select s, row_id, label, {uniform_sql(seed or ('42' if pooled else 's'), 'row_id')} as u from all_rows, splits))),
 pairs as (select m.cand_id, v.row_id as a, t.row_id as b, round(sum((v.value - t.value) * (v.value - t.value)), 9) as d from masks m join long v on v.f = m.f join long t on t.f = m.f where m.bit = 1 group by all),
 best as (select p.cand_id, h.s, p.a, h.label as y, min((p.d, p.b)) as near from pairs p join held h on h.row_id = p.a and h.is_valid join held g on g.row_id = p.b and g.s = h.s and not g.is_valid group by all),
 part as (select cand_id, s, sum((y = label)::int) as hit, count(*) as n from best join all_rows on row_id = near[2] group by all),
@@ -201,7 +201,10 @@ def ninety_ten_accuracy(spark, sf_dir):
     return rounded(evaluate.weighed(evaluate.resampled_accuracy([feat.shuffled_split(rows, 0)], few_masks(spark)))).drop("d")
 
 
-@query("plain_fold_cost", _resampled_sql("case when k - 1 < (n % 10) * (n // 10 + 1) then (k - 1) // (n // 10 + 1) else n % 10 + (k - 1 - (n % 10) * (n // 10 + 1)) // greatest(n // 10, 1) end = s", "range(10)", True, f"round(1 - accuracy, 6) as error, round(0.9 * (1 - accuracy) + 0.1 * n_selected / {D}, 6) as fitness"))
+PLAIN_FOLD = "case when k - 1 < (n % 10) * (n // 10 + 1) then (k - 1) // (n // 10 + 1) else n % 10 + (k - 1 - (n % 10) * (n // 10 + 1)) // greatest(n // 10, 1) end = s"
+
+
+@query("plain_fold_cost", _resampled_sql(PLAIN_FOLD, "range(10)", True, f"round(1 - accuracy, 6) as error, round(0.9 * (1 - accuracy) + 0.1 * n_selected / {D}, 6) as fitness"))
 def plain_fold_cost(spark, sf_dir):
     """One nearest neighbour over ten unstratified folds, and 0.9 of its error with 0.1 of the share of features."""
     dealt = feat.plain_folds(feat.scaled(feat.embeddings(spark, sf_dir)), 10)
@@ -211,6 +214,28 @@ def plain_fold_cost(spark, sf_dir):
     return found.select("cand_id", "n_selected", r6(error, "error"), r6(0.9 * error + 0.1 * F.col("n_selected") / F.col("d"), "fitness"))
 
 
+@query("weighed_fold_score", _resampled_sql(PLAIN_FOLD, "range(10)", False, f"round(accuracy, 6) as accuracy, round(case when n_selected > 0 then 0.88 * accuracy - 0.12 * n_selected / {D} else 0 end, 6) as score", "42"))
+def weighed_fold_score(spark, sf_dir):
+    """Mean accuracy over ten unstratified folds, weighed against the share of features."""
+    dealt = feat.plain_folds(feat.scaled(feat.embeddings(spark, sf_dir)), 10)
+    splits = [dealt.withColumn("is_valid", F.col("fold") == f).drop("fold") for f in range(10)]
+    return rounded(evaluate.weighed(evaluate.resampled_accuracy(splits, few_masks(spark)))).drop("d")
+
+
+def _hot_sql() -> str:
+    masks = feat.masks_sql(N_MASKS, D)
+    inner = masks.removeprefix("masks as (").removesuffix(")")
+    costs = fitness_sql("1 - accuracy").replace(masks, f"masks as (select cand_id, f, case when f % 3 = 0 then 0 else bit end as bit from ({inner}))")
+    return f"select cand_id, n_selected, round(1 - fitness, 6) as score from ({costs})"
+
+
+@query("hot_start_score", _hot_sql())
+def hot_start_score(spark, sf_dir):
+    """1 - fitness of masks over the features that a start left."""
+    masks = evaluate.restricted(masks_of(spark), [f for f in range(D) if f % 3])
+    return rounded(evaluate.gain(evaluate.fitness(split_of(spark, sf_dir), masks)))
+
+
 @query("unseen_masks", f"with {feat.masks_sql(N_MASKS, D)}, k as (select cand_id, string_agg(bit, '' order by f) as mask_key from masks group by cand_id) select mask_key, min(cand_id)::int as cand_id from k where mask_key not in (select mask_key from k where cand_id < 4) group by mask_key")
 def unseen_masks(spark, sf_dir):
     masks = masks_of(spark)
@@ -342,6 +367,12 @@ def infinite_ranking(spark, sf_dir):
     return spark.createDataFrame([(f, round(e, 6)) for f, e in score.infinite_scores(feat.embeddings(spark, sf_dir))], "feature int, energy double")
 
 
+@query("graph_score")
+def graph_score(spark, sf_dir):
+    masks = sorted((r["cand_id"], r["mask"]) for r in masks_of(spark).collect())
+    return rounded(spark.createDataFrame(score.graph_scores(feat.embeddings(spark, sf_dir), masks), "cand_id int, score double"))
+
+
 @query("prefix_sweep_best", f"{EMB}, {SPLIT}, {LABEL_INFO.replace('joint', 'lj')}, ranked as (select f, row_number() over (order by round(su, 9) desc, f) as k from label_info), masks as (select n as cand_id, f, (k <= n)::int as bit from ranked, range(1, {D + 1}) t(n)), {evaluate.KNN_SQL.replace('pairs', 'kp')}, {metrics.metrics_sql(['cand_id'])}, best as (select cand_id, round(0.99 * (1 - accuracy) + 0.01 * cand_id / {D}, 6) as fitness from metrics) select cand_id::int as n_selected, fitness from best order by fitness, cand_id limit 1")
 def prefix_sweep_best(spark, sf_dir):
     order = score.label_information(feat.embeddings(spark, sf_dir)).orderBy(F.desc(F.round("su", 9)), "feature").select("feature").collect()  # one row per feature
@@ -381,6 +412,30 @@ def dbscan_clusters(spark, sf_dir):
     return cluster.dbscan(_points(spark, sf_dir), EPS, 5)
 
 
+def _kmeans_sql(k: int, rounds: int, replicates: int) -> str:
+    """Rounds of all replicates, one after another."""
+    parts = [f"""st as (select r, row_id, row_number() over (partition by r order by row_id) - 1 as k from (select r, row_id, row_number() over (partition by r order by {uniform_sql("'start0'", 'r', 'row_id')}, row_id) as p from (select distinct row_id from long), range({replicates}) t(r)) where p <= {k})""", "c0 as (select r, k, f, value as c from st join long using (row_id))"]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select r, row_id, min((d, k)) as m from (select r, row_id, k, round(sqrt(sum((value - c) * (value - c))), 9) as d from long join c{i} using (f) group by all) group by all)")
+        if i < rounds:
+            parts.append(f"c{i + 1} as (select r, m[2] as k, f, avg(value) as c from a{i} join long using (row_id) group by all)")
+    best = f"(select r from (select r, sum(m[1]) as total from a{rounds} group by r) order by round(total, 9), r limit 1)"
+    return f"{SOME}, {', '.join(parts)} select row_id, m[2]::int as cluster from a{rounds} where r = {best}"
+
+
+@query("kmeans_clusters", _kmeans_sql(4, 3, 2))
+def kmeans_clusters(spark, sf_dir):
+    return cluster.replicated_kmeans(_points(spark, sf_dir), 4, rounds=3, replicates=2)
+
+
+@query("smoothed_information", """with j as (select o_custkey % 7 as c, o_orderkey % 5 as x, count(*) as n from orders group by all), joint as (select c, x, sum(n) as n from (from j union all select distinct c, c, 1 from j) group by all), t as (select sum(n) as s from joint),
+h as (select (select -sum(n / s * log2(n / s)) from joint, t) as hxy, (select -sum(p * log2(p)) from (select sum(n) / any_value(s) as p from joint, t group by c)) as hx, (select -sum(p * log2(p)) from (select sum(n) / any_value(s) as p from joint, t group by x)) as hy)
+select round((hx + hy - hxy) / greatest(hx, hy), 6) as information from h""")
+def smoothed_information(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 7).alias("cluster"), (F.col("o_orderkey") % 5).alias("label"))
+    return rounded(cluster.smoothed_information(pairs))
+
+
 @query("silhouette_by_label", f"{SOME}, {DIST}, named as (select distinct row_id, label from long), m as (select a, x.label as own, y.label, avg(d) as m from dist join named x on x.row_id = a join named y on y.row_id = b group by all), e as (select a, max(m) filter (own = label) as i, min(m) filter (own <> label) as o from m group by a) select round(avg(case when i is null or o is null then 0 else (o - i) / greatest(i, o) end), 6) as silhouette from e")
 def silhouette_by_label(spark, sf_dir):
     return rounded(cluster.silhouette(_points(spark, sf_dir)))

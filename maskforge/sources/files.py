@@ -26,13 +26,15 @@ def labelled(df: DataFrame, label: str | None = None) -> DataFrame:
     return rows.join(F.broadcast(ranks) if ranks.count() <= 100_000 else ranks, "raw_label").select("row_id", "features", "label")
 
 
-def datasets(spark: SparkSession, folder: str, names: list[str] | None = None) -> list[str]:
-    """Names of the delimited files of a folder in order, or those of the list that exist."""
+def datasets(spark: SparkSession, folder: str, names: list[str] | None = None, missing: str = "skip") -> list[str]:
+    """Names of the delimited files of a folder in order, or those of the list that exist; with ``missing="raise"`` all of the list must."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = sorted(s.getPath().getName()[:-4] for s in files.listStatus(path) if s.getPath().getName().endswith(".csv"))
+    found = []
+    if files.exists(path):
+        found = sorted(s.getPath().getName()[:-4] for s in files.listStatus(path) if s.getPath().getName().endswith(".csv"))
+    if missing == "raise" and (absent := [n for n in names or [] if n not in set(found)]):
+        raise FileNotFoundError(f"{folder} has no {', '.join(absent)}")
     return [n for n in names if n in set(found)] if names else found
 
 

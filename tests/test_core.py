@@ -1,10 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from maskforge.functions.portable import uniform, uniform_py
-from maskforge.operators import cluster, evaluate, features, metrics, report
+from maskforge.operators import cluster, evaluate, features, metrics, report, score
 from maskforge.plans import protocols
-from maskforge.sources import files
+from maskforge.sources import files, sheets
 from maskforge.streaming import summary, to_memory, windowed
 
 
@@ -28,7 +29,6 @@ def test_metrics_of_odd_classes(spark):
 
 
 def test_local_metrics_agree(spark):
-    import numpy as np
 
     rng = np.random.default_rng(0)
     y, p = rng.integers(0, 4, 200), rng.integers(0, 5, 200)
@@ -86,6 +86,53 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "runs")).count() == records.count()
 
 
+def test_missing_files_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2\n")
+    assert files.datasets(spark, str(tmp_path), ["a", "b"]) == ["a"]
+    with pytest.raises(FileNotFoundError):
+        files.datasets(spark, str(tmp_path), ["a", "b"], missing="raise")
+
+
+def test_sheets(spark, tmp_path):
+    rows = [(1, 2.5, "a <&> b", [1, 2], True), (2, None, None, [], False), (3, float("nan"), " x", None, None)]
+    df = spark.createDataFrame(rows, "n int, v double, name string, items array<int>, ok boolean").coalesce(1)
+    assert sheets.write_sheet(df, str(tmp_path / "a.xlsx")) == 3
+    got = sheets.read_sheet(spark, str(tmp_path / "a.xlsx"))
+    assert got.dtypes == [("n", "double"), ("v", "double"), ("name", "string"), ("items", "string"), ("ok", "boolean")]
+    assert [tuple(r) for r in got.collect()] == [(1.0, 2.5, "a <&> b", "1;2", True), (2.0, None, None, "", False), (3.0, None, " x", None, None)]
+    both = sheets.read_sheets(spark, {"0.1": str(tmp_path / "a.xlsx"), "0.2": str(tmp_path / "a.xlsx")}, "rate")
+    assert {(r["rate"], r["count"]) for r in both.groupBy("rate").count().collect()} == {("0.1", 3), ("0.2", 3)}
+    sheets.write_sheet(df.limit(0), str(tmp_path / "b.xlsx"))
+    assert sheets.read_sheet(spark, str(tmp_path / "b.xlsx")).count() == 0
+
+
+@pytest.mark.parametrize("distance", ["euclidean", "cosine"])
+def test_replicated_kmeans(spark, distance):
+    rng = np.random.default_rng(0)
+    middle = np.array([[9.0, 0, 0], [0, 9, 0], [0, 0, 9]])
+    points = [(i, (middle[i % 3] + rng.normal(0, 0.2, 3)).tolist()) for i in range(60)]
+    got = {r["row_id"]: r["cluster"] for r in cluster.replicated_kmeans(spark.createDataFrame(points, "row_id long, features array<double>"), 3, replicates=5, distance=distance).collect()}
+    assert len({(i % 3, c) for i, c in got.items()}) == 3 and len(set(got.values())) == 3
+
+
+def test_kmeans_refills_empty_clusters(spark):
+    # equal rows as starts leave clusters empty; those take the farthest rows
+    points = [(i, [0.0]) for i in range(40)] + [(50, [5.0]), (51, [9.0])]
+    rows = spark.createDataFrame(points, "row_id long, features array<double>")
+    got = {r["row_id"]: r["cluster"] for r in cluster.replicated_kmeans(rows, 3, replicates=1).collect()}
+    assert len(set(got.values())) == 3 and len({got[0], got[50], got[51]}) == 3
+    with pytest.raises(ValueError):
+        cluster.replicated_kmeans(rows, 43)
+
+
+def test_graph_scores(spark):
+    rows = features.planted(spark, 40)
+    every = score.infinite_scores(rows)
+    d = len(every)
+    got = score.graph_scores(rows, [(0, [1] * d), (1, [0] * d), (2, [1] + [0] * (d - 1))])
+    assert got[0][1] == pytest.approx(-np.mean([e for _, e in every])) and got[1][1] == 0 and np.isfinite(got[2][1])
+
+
 def test_stream_gives_the_table_s_summary(spark, tmp_path):
     records = report.records(spark).select("dataset", "method", "acc", "time")
     records.write.parquet(str(tmp_path / "in"))

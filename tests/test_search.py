@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from maskforge.plans.search import METHODS, LocalScorer, Options, SparkScorer, Task, interval, learned, search, staged
+from maskforge.plans.search import METHODS, LocalScorer, Options, SparkScorer, Task, interval, learned, search, single, staged, swarms
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,24 @@ def test_like_features_share_a_group():
     assert [g.tolist() for g in staged.like_groups(np.array([0.5, 0.4, 0.3, 0.0]), like)] == [[0, 2], [1]]
 
 
+def test_repeated_masks_swap_features():
+    rng, masks = np.random.default_rng(0), np.array([[True, True, False, False], [False] * 4])
+    trial = np.array([[0.9, 0.8, 0.1, 0.2], [0.1, 0.1, 0.1, 0.1], [0.9, 0.1, 0.1, 0.9]])
+    out = swarms.unlike(rng, trial, masks, 0.6)
+    assert (out[0] > 0.6).sum() == 2 and (out[0] > 0.6).tobytes() != masks[0].tobytes()
+    assert (out[1] == trial[1]).all() and (out[2] == trial[2]).all()
+
+
+def test_mates_lower_no_cost(table):
+    task = Task(LocalScorer(*table)).prepared(Options(n=6, threshold=0.6))
+    inside = np.arange(task.d) % 2 == 0
+    x = np.concatenate((task.rng.random((6, task.d)), single.chaotic(task, 6)))
+    before = np.sort(task.score(single.bits_within(x, inside, 0.6)))[:6]
+    after = task.score(single.bits_within(single.mated(task, x, inside, task.options), inside, 0.6))
+    assert len(after) == 6 and (after <= before).all()
+    assert single.likeness(np.array([True, False]), np.array([False, True])) == pytest.approx(1) and single.likeness(np.ones(3), np.zeros(3)) == 0
+
+
 def test_levels_of_the_surrogate(table):
     x, y, valid = (np.concatenate([t] * 5) for t in table)
     found = search("SAGA", Task(LocalScorer(x, y, valid)), Options(n=8, rounds=20, seed=1))
