@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskforge.llm.common import table
+from maskforge.llm.common import give_back, small_batches, table
 
 WIDE = 24
 SHORT = 256
@@ -283,7 +283,9 @@ def _mapped(df: DataFrame, source: bytes, column: str, name: str, kind: T.DataTy
                 made = convert(codec, batch.column(batch.schema.get_field_index(column)))
                 columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays([*columns, made], names=[f.name for f in schema])
+            give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

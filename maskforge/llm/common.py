@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ FOLDS = 5
 BROADCAST_ROWS = 500_000
 #: Bytes of texts of an Arrow batch that become Python strings together.
 TEXT_BYTES = 1 << 20
+#: Rows of an Arrow batch between a task and its Python worker: whole texts, so fewer than the default of 10,000.
+ARROW_ROWS = 1_000
 #: A key of a join that more rows bear than this is not left to one task.
 HEAVY_ROWS = 10_000
 
@@ -37,6 +40,7 @@ def clean(spark: SparkSession) -> int:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local."""
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
@@ -59,6 +63,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``ARROW_ROWS``, if they are more: a batch is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that was freed to the system; workers live on from stage to stage and would keep their largest need."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts in column ``at`` have about ``TEXT_BYTES`` together, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
@@ -67,6 +88,7 @@ def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TEXT_BYTES, side="right")))
         yield batch.slice(first, upto - first)
         first = upto
+    give_back()
 
 
 def hinted(df: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -97,4 +119,6 @@ def held_out(doc_id: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, whose texts go to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
