@@ -66,7 +66,7 @@ def _rows(book: zipfile.ZipFile) -> Iterator[dict[int, object]]:
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in item.iter(tag("t"))) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(tag("si"))]
-    first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+    first = min((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
     with book.open(first) as sheet:
         for _, row in ElementTree.iterparse(sheet):
             if row.tag != tag("row"):
