@@ -185,6 +185,11 @@ found as (select cand_id, n_selected, coalesce(accuracy, 0) as accuracy from siz
 select cand_id::bigint as cand_id, n_selected, {columns} from found"""
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What splits are dealt by: no features."""
+    return feat.embeddings(spark, sf_dir).select("row_id", "label")
+
+
 def few_masks(spark: SparkSession) -> DataFrame:
     return feat.candidate_masks(spark, 3, D)
 
@@ -192,13 +197,13 @@ def few_masks(spark: SparkSession) -> DataFrame:
 @query("shuffle_split_accuracy", _resampled_sql("k <= ceil(round(n * 0.1, 9))", "range(10)", False, "round(accuracy, 6) as accuracy"))
 def shuffle_split_accuracy(spark, sf_dir):
     rows = feat.scaled(feat.embeddings(spark, sf_dir))
-    return rounded(evaluate.resampled_accuracy([feat.shuffled_split(rows, s) for s in range(10)], few_masks(spark))).drop("d")
+    return rounded(evaluate.resampled_accuracy(rows, [feat.shuffled_split(_named(spark, sf_dir), s) for s in range(10)], few_masks(spark))).drop("d")
 
 
 @query("ninety_ten_accuracy", _resampled_sql("k <= ceil(round(n * 0.1, 9))", "[0]", False, f"round(accuracy, 6) as accuracy, round(case when n_selected > 0 then 0.88 * accuracy - 0.12 * n_selected / {D} else 0 end, 6) as score"))
 def ninety_ten_accuracy(spark, sf_dir):
     rows = feat.scaled(feat.embeddings(spark, sf_dir))
-    return rounded(evaluate.weighed(evaluate.resampled_accuracy([feat.shuffled_split(rows, 0)], few_masks(spark)))).drop("d")
+    return rounded(evaluate.weighed(evaluate.resampled_accuracy(rows, [feat.shuffled_split(_named(spark, sf_dir), 0)], few_masks(spark)))).drop("d")
 
 
 PLAIN_FOLD = "case when k - 1 < (n % 10) * (n // 10 + 1) then (k - 1) // (n // 10 + 1) else n % 10 + (k - 1 - (n % 10) * (n // 10 + 1)) // greatest(n // 10, 1) end = s"
@@ -207,9 +212,8 @@ PLAIN_FOLD = "case when k - 1 < (n % 10) * (n // 10 + 1) then (k - 1) // (n // 1
 @query("plain_fold_cost", _resampled_sql(PLAIN_FOLD, "range(10)", True, f"round(1 - accuracy, 6) as error, round(0.9 * (1 - accuracy) + 0.1 * n_selected / {D}, 6) as fitness"))
 def plain_fold_cost(spark, sf_dir):
     """One nearest neighbour over ten unstratified folds, and 0.9 of its error with 0.1 of the share of features."""
-    dealt = feat.plain_folds(feat.scaled(feat.embeddings(spark, sf_dir)), 10)
-    splits = [dealt.withColumn("is_valid", F.col("fold") == f).drop("fold") for f in range(10)]
-    found = evaluate.resampled_accuracy(splits, few_masks(spark), pooled=True)
+    rows = feat.scaled(feat.embeddings(spark, sf_dir))
+    found = evaluate.resampled_accuracy(rows, feat.plain_folds(_named(spark, sf_dir), 10), few_masks(spark), pooled=True)
     error = 1 - F.col("accuracy")
     return found.select("cand_id", "n_selected", r6(error, "error"), r6(0.9 * error + 0.1 * F.col("n_selected") / F.col("d"), "fitness"))
 
@@ -217,9 +221,8 @@ def plain_fold_cost(spark, sf_dir):
 @query("weighed_fold_score", _resampled_sql(PLAIN_FOLD, "range(10)", False, f"round(accuracy, 6) as accuracy, round(case when n_selected > 0 then 0.88 * accuracy - 0.12 * n_selected / {D} else 0 end, 6) as score", "42"))
 def weighed_fold_score(spark, sf_dir):
     """Mean accuracy over ten unstratified folds, weighed against the share of features."""
-    dealt = feat.plain_folds(feat.scaled(feat.embeddings(spark, sf_dir)), 10)
-    splits = [dealt.withColumn("is_valid", F.col("fold") == f).drop("fold") for f in range(10)]
-    return rounded(evaluate.weighed(evaluate.resampled_accuracy(splits, few_masks(spark)))).drop("d")
+    rows = feat.scaled(feat.embeddings(spark, sf_dir))
+    return rounded(evaluate.weighed(evaluate.resampled_accuracy(rows, feat.plain_folds(_named(spark, sf_dir), 10), few_masks(spark)))).drop("d")
 
 
 def _hot_sql() -> str:
