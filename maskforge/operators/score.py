@@ -7,13 +7,17 @@ over pairs of features have as many rows as features, squared, not as data rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.operators.evaluate import BLOCK_BYTES, matrix
+from maskforge.operators import evaluate
+from maskforge.operators.evaluate import BLOCK_BYTES
 from maskforge.operators.features import PARTS, placed, unpivoted
+from maskforge.operators.neighbours import Rows, chunks, collected, dealt, kept, matrix, nearest_rows, without_self
 
 
 def long(features: DataFrame) -> DataFrame:
@@ -132,8 +136,9 @@ def mean_abs_correlation(features: DataFrame) -> DataFrame:
 def relieff(features: DataFrame, neighbours: int = 5, samples: int | None = None) -> DataFrame:
     """feature, weight: misses, weighted by class prior, less hits, over value ranges, averaged over all rows or ``samples`` of least id hash.
 
-    Rows are dealt into a grid of blocks; of each block and class the nearest rows of each row come out
-    with their gaps, and the nearest of all blocks are merged by a grouped minimum.
+    While the table fits ``BROADCAST_BYTES`` each task finds the nearest rows of some rows and adds up their
+    gaps. Beyond that rows are dealt into a grid of blocks; of each block and class the nearest rows of each row
+    come out with their gaps, and the nearest of all blocks are merged by a grouped minimum.
     """
     n, width = features.agg(F.count("*"), F.max(F.size("features"))).first()
     blocks = max(1, -(-n * ((width or 0) + 2) * 8 // BLOCK_BYTES))
@@ -144,6 +149,9 @@ def relieff(features: DataFrame, neighbours: int = 5, samples: int | None = None
         span[r["feature"]] = r["span"] or 1.0
     rows = features.select("row_id", F.col("features").cast("array<double>").alias("features"), "label")
     asked = rows if samples is None else rows.orderBy(F.md5(F.col("row_id").cast("string").cast("binary")), "row_id").limit(samples)
+    if n and n * ((width or 0) + 2) * 8 <= evaluate.BROADCAST_BYTES:
+        gaps = _summed_gaps(rows, None if samples is None else asked, prior, np.array(span), neighbours)
+        return gaps.groupBy("feature").agg((F.sum("gap") / min(n, samples or n)).alias("weight"))
     own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = asked.select("row_id", "features", "label", own.alias("v"), every.alias("t"))
@@ -172,6 +180,36 @@ def relieff(features: DataFrame, neighbours: int = 5, samples: int | None = None
     return gaps.groupBy("feature").agg((F.sum(F.col("w") * F.col("gap")) / min(n, samples or n)).alias("weight"))
 
 
+def _summed_gaps(rows: DataFrame, asked: DataFrame | None, prior: dict[int, float], span: np.ndarray, neighbours: int) -> DataFrame:
+    """feature, gap: weighed gaps of some of the asked rows (default: all) to their nearest of each class, added up."""
+    spark, token = rows.sparkSession, uuid.uuid4().hex
+    ids, x, y = collected(rows, "label")
+    some = np.arange(len(ids)) if asked is None else np.flatnonzero(np.isin(ids, [r[0] for r in asked.select("row_id").collect()]))
+    shared = spark.sparkContext.broadcast((x, y, some))
+
+    def work(unit: tuple[int, int]) -> pa.RecordBatch:
+        x, y, some = shared.value
+        own = some[unit[0] : unit[1]]
+        total = np.zeros(x.shape[1])
+        classes = kept("classes", token, lambda: [(name, p := np.flatnonzero(y == name), Rows(x[p])) for name in prior])
+        for name, places, known in classes:
+            for same in (True, False):
+                mine = own[(y[own] == name) == same]
+                d, near = nearest_rows(x[mine], known, neighbours + same)
+                if same:
+                    _, near = without_self(np.searchsorted(places, mine), d, near, neighbours)
+                if not near.size:
+                    continue
+                weight = np.full(len(mine), -1.0) if same else prior[name] / (1 - np.array([prior[c] for c in y[mine].tolist()]))
+                for i in range(0, len(mine), 1024):
+                    m = mine[i : i + 1024]
+                    gap = np.abs(x[places[near[i : i + 1024]]] - x[m][:, None]).mean(1)
+                    total += weight[i : i + 1024] @ gap / span
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["feature", "gap"])
+
+    return dealt(spark, chunks(len(some), len(ids)), len(some) * len(ids), work, "feature int, gap double")
+
+
 def unit(column: str) -> Column:
     whole = Window.partitionBy()
     low, high = F.min(column).over(whole), F.max(column).over(whole)

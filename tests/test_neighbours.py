@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskforge.operators import evaluate, neighbours
+from maskforge.operators import cluster, evaluate, neighbours, score
 from maskforge.operators.features import candidate_masks, plain_folds, planted, shuffled_split, with_split
 
 
@@ -69,3 +69,42 @@ def test_splits_of_a_table_collected_once_agree_with_the_grid(spark, monkeypatch
     monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(evaluate, "BLOCK_BYTES", 4000)
     assert [sorted(evaluate.predict_splits(rows, s, masks, 1).collect()) for s in (folds, shuffles)] == shared
+
+
+def blobs(spark):
+    return planted(spark, 300).unionByName(planted(spark, 20).withColumn("row_id", F.col("row_id") + 1000))  # some copies
+
+
+def rows_of(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("made", [
+    lambda p: cluster.density(p, 0.9, 5),
+    lambda p: cluster.dbscan(p, 0.75, 6),
+    lambda p: cluster.neighbour_graph(p, 3),
+    lambda p: cluster.silhouette(p),
+    lambda p: score.relieff(p, 3),
+    lambda p: score.relieff(p, 3, samples=50),
+], ids=["density", "dbscan", "graph", "silhouette", "relieff", "relieff_of_samples"])
+def test_pairs_in_tasks_agree_with_blocks(spark, monkeypatch, made):
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 1 << 15)
+    shared = rows_of(made(blobs(spark)))
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 0)
+    assert rows_of(made(blobs(spark))) == shared
+
+
+def test_pairs_are_dealt_and_not_written(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 1 << 18)
+    monkeypatch.setattr(cluster, "pairs_within", None)  # of which there are as many as the square of a cluster
+    points = planted(spark, 1500)
+    assert cluster.density(points, 2.0, 5).rdd.getNumPartitions() > 2
+    assert cluster.density(points, 9.0, 5).agg(F.min("degree"), F.max("degree")).first() == (1500, 1500)
+    assert cluster.dbscan(points, 9.0, 5).distinct().count() == 1500
+    assert score._summed_gaps(points, None, {0: 0.5, 1: 0.5}, np.ones(12), 5).rdd.getNumPartitions() > 2
+
+
+def test_chain_of_core_rows_is_one_cluster(spark):
+    line = spark.range(700).select(F.pmod(F.col("id") * 389, F.lit(700)).alias("row_id"), F.array(F.col("id").cast("double")).alias("features"))
+    assert cluster.dbscan(line, 1.0, 2).select("cluster").distinct().collect() == [(0,)]
+    assert cluster.dbscan(line, 0.5, 2).select("cluster").distinct().collect() == [(-1,)]
