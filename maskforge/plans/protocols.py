@@ -1,7 +1,7 @@
 """Experiment protocols: repeated hold-out, cross-validation, sweeps and ablations.
 
 An experiment is a relation of tasks (data set, method, run, options). Tasks of
-data sets that fit ``LOCAL_BYTES`` run side by side on the executors, a search in
+data sets that fit ``LOCAL_BYTES`` and ``LOCAL_ROWS`` run side by side on the executors, a search in
 each; those of a larger data set run one after the other, each scoring its
 masks with distributed jobs. Runs are reproducible: a task's draws come from
 its own seed. Every test score is taken on rows that the search has not used to train.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from maskforge.operators.evaluate import nearest, predict, voted
 from maskforge.operators.features import fold_count, scaled, with_folds, with_split
 from maskforge.operators.metrics import metrics
-from maskforge.plans.search import LocalScorer, Options, SparkScorer, Task, search
+from maskforge.plans.search import LocalScorer, Options, SparkScorer, Task, base, search
 
 LOCAL_BYTES = 64 << 20
 MEASURES = ["accuracy", "f1_macro", "auc_macro", "recall_macro", "precision_macro"]
@@ -59,7 +59,7 @@ def records(spark: SparkSession, datasets: dict[str, DataFrame], methods: list[s
         if not n or folds and turns < 2:
             continue
         todo = list(itertools.product(methods, range(turns), configs or [Options()]))
-        if n * (d + 2) * 8 <= LOCAL_BYTES:
+        if n <= base.LOCAL_ROWS and n * (d + 2) * 8 <= LOCAL_BYTES:
             parts.append(_local(spark, name, table, todo, share, turns if folds else 0))
         else:
             parts.append(spark.createDataFrame([_record(name, m, r, o, *_run(_split(table, r, share, turns if folds else 0), m, r, o)) for m, r, o in todo], RECORD))

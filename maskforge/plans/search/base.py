@@ -174,10 +174,14 @@ class SparkScorer:
         return float(np.mean(errors))
 
 
+#: Tables of more rows are scored by jobs: one process would look at the square of the rows for each mask.
+LOCAL_ROWS = 10_000
+
+
 def scorer_for(split: DataFrame, limit: int = 64 << 20) -> LocalScorer | SparkScorer:
-    """Scores where the table is: in this process if it has at most ``limit`` bytes, else by jobs."""
+    """Scores where the table is: in this process if it has at most ``limit`` bytes and ``LOCAL_ROWS`` rows, else by jobs."""
     n, d = split.agg(F.count("*"), F.max(F.size("features"))).first()
-    if n * ((d or 0) + 3) * 8 > limit:
+    if n > LOCAL_ROWS or n * ((d or 0) + 3) * 8 > limit:
         return SparkScorer(split)
     rows = sorted(split.select("row_id", "features", "label", "is_valid").collect())
     return LocalScorer(np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows]))

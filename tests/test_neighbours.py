@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from maskforge.operators import cluster, evaluate, neighbours, score
 from maskforge.operators.features import candidate_masks, plain_folds, planted, shuffled_split, with_split
+from maskforge.plans import protocols
+from maskforge.plans.search import LocalScorer, Options, SparkScorer, Task, base, scorer_for, search
 
 
 def in_full(a, b, root):
@@ -108,3 +110,16 @@ def test_chain_of_core_rows_is_one_cluster(spark):
     line = spark.range(700).select(F.pmod(F.col("id") * 389, F.lit(700)).alias("row_id"), F.array(F.col("id").cast("double")).alias("features"))
     assert cluster.dbscan(line, 1.0, 2).select("cluster").distinct().collect() == [(0,)]
     assert cluster.dbscan(line, 0.5, 2).select("cluster").distinct().collect() == [(-1,)]
+
+
+def test_searches_of_many_rows_go_by_jobs(spark, monkeypatch):
+    options = Options(n=4, rounds=2, seed=1)
+    split = with_split(planted(spark), 1)
+    local = scorer_for(split)
+    by_hold_out = rows_of(protocols.hold_out(spark, {"planted": planted(spark)}, ["PSO"], 1, options).select("nf", "fitness", "accuracy", "mask"))
+    monkeypatch.setattr(base, "LOCAL_ROWS", 239)
+    monkeypatch.setattr(protocols, "_local", None)
+    by_jobs = scorer_for(split)
+    assert isinstance(local, LocalScorer) and isinstance(by_jobs, SparkScorer)
+    assert search("PSO", Task(local), options) == search("PSO", Task(by_jobs), options)
+    assert rows_of(protocols.hold_out(spark, {"planted": planted(spark)}, ["PSO"], 1, options).select("nf", "fitness", "accuracy", "mask")) == by_hold_out
