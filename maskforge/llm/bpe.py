@@ -269,11 +269,11 @@ def load_vocabulary(path: str) -> bytes:
     return source
 
 
-def _mapped(df: DataFrame, source: bytes, column: str, name: str, kind: T.DataType, convert) -> DataFrame:
-    """``df`` with column ``name`` made from ``column``; other columns pass through unchanged."""
+def _mapped(df: DataFrame, source: bytes, column: str, names: dict[str, T.DataType], convert) -> DataFrame:
+    """``df`` with the named columns made from ``column``; other columns pass through unchanged."""
     shared = df.sparkSession.sparkContext.broadcast(source)
-    kept = [f for f in df.schema.fields if f.name != name]
-    schema = T.StructType([*kept, T.StructField(name, kind)])
+    kept = [f for f in df.schema.fields if f.name not in names]
+    schema = T.StructType([*kept, *[T.StructField(n, kind) for n, kind in names.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
@@ -282,33 +282,41 @@ def _mapped(df: DataFrame, source: bytes, column: str, name: str, kind: T.DataTy
                 batch = whole.slice(i, ROWS_AT_ONCE)
                 made = convert(codec, batch.column(batch.schema.get_field_index(column)))
                 columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, made], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=[f.name for f in schema])
             give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, source: bytes, text: str = "text", name: str = "ids", packed: bool = False) -> DataFrame:
-    """Adds the ids of column ``text`` (a column ``name`` is replaced): array of int, or if ``packed`` little-endian bytes."""
+def encode(df: DataFrame, source: bytes, text: str = "text", name: str = "ids", packed: bool = False, decoded: str | None = None) -> DataFrame:
+    """Adds the ids of column ``text`` (a column ``name`` is replaced): array of int, or if ``packed`` little-endian bytes.
 
-    def convert(codec: Codec, column: pa.Array) -> pa.Array:
+    decoded: a column for the text that the ids decode to, made by the same worker, so that a task needs one.
+    """
+    names: dict[str, T.DataType] = {name: T.BinaryType() if packed else T.ArrayType(T.IntegerType())}
+    if decoded:
+        names[decoded] = T.StringType()
+
+    def convert(codec: Codec, column: pa.Array) -> list[pa.Array]:
         texts = column.to_pylist()
         codec.warm(texts)
         made = [codec.encode(x) for x in texts]
-        return pa.array(made, pa.binary()) if packed else pa.array([array_of(x) for x in made], pa.list_(pa.int32()))
+        del texts
+        ids = pa.array(made, pa.binary()) if packed else pa.array([array_of(x) for x in made], pa.list_(pa.int32()))
+        return [ids, pa.array(map(codec.decode, made), pa.string())] if decoded else [ids]
 
-    return _mapped(df, source, text, name, T.BinaryType() if packed else T.ArrayType(T.IntegerType()), convert)
+    return _mapped(df, source, text, names, convert)
 
 
 def decode(df: DataFrame, source: bytes, ids: str = "ids", name: str = "text") -> DataFrame:
     """Adds the text of column ``ids``, which is an array of int or packed bytes."""
 
-    def convert(codec: Codec, column: pa.Array) -> pa.Array:
+    def convert(codec: Codec, column: pa.Array) -> list[pa.Array]:
         pack = (lambda x: x) if pa.types.is_binary(column.type) else (lambda x: array("I", x or []).tobytes())
-        return pa.array([codec.decode(pack(x)) for x in column.to_pylist()], pa.string())
+        return [pa.array([codec.decode(pack(x)) for x in column.to_pylist()], pa.string())]
 
-    return _mapped(df, source, ids, name, T.StringType(), convert)
+    return _mapped(df, source, ids, {name: T.StringType()}, convert)
 
 
 def default_vocabulary() -> bytes:
@@ -324,9 +332,8 @@ def n_ids(packed: Column) -> Column:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = default_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs.select("doc_id", "text"), source, packed=True).drop("text")
-    back = decode(coded, source, name="decoded")
-    return back.select(
+    coded = encode(docs, source, packed=True, decoded="decoded")
+    return coded.select(
         "doc_id",
         n_ids(F.col("ids")).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

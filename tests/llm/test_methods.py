@@ -458,3 +458,13 @@ def test_rest_does_not_import_this():
 
     root = pathlib.Path(near_dedup.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
+
+
+def test_bpe_ids_and_text_of_one_worker(spark):
+    """A task of ``op1_bpe`` holds one vocabulary and cache, and gives what both operators give one after the other."""
+    source = bpe.default_vocabulary()
+    docs = spark.createDataFrame([(1, "Two words,  and\n\nmore é\U0001f600"), (2, None), (3, "")], "doc_id long, text string")
+    both = bpe.encode(docs, source, packed=True, decoded="decoded").drop("text")
+    assert sorted(both.collect()) == sorted(bpe.decode(bpe.encode(docs, source, packed=True).drop("text"), source, name="decoded").collect())
+    plan = bpe.op1_bpe(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
