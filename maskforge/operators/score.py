@@ -27,6 +27,8 @@ def long(features: DataFrame) -> DataFrame:
 def binned(values: DataFrame, bins: int) -> DataFrame:
     """Adds bin: equal-frequency bins by rank, floor(rank * bins / n), ties in row order."""
     cuts = values.groupBy("feature").agg(F.count("*").alias("n"), F.percentile_approx("value", [p / PARTS for p in range(1, PARTS)], 4 * PARTS).alias("cuts"))  # one row per feature
+    # collected: worked out again, approximate cuts may be others, and parts then disagree with their counts
+    cuts = values.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
     parted, step = values.join(F.broadcast(cuts), "feature").withColumn("part", F.lit(0)), PARTS // 2
     while step:  # binary search for the number of cuts under the value
         parted = parted.withColumn("part", F.col("part") + F.when(F.col("value") > F.get("cuts", F.col("part") + (step - 1)), step).otherwise(0))

@@ -162,3 +162,13 @@ def test_command_line(spark, tmp_path):
     assert read("sweep").count() == 7 and {"runs", "accuracy_mean", "nf_std"} <= set(read("sweep_summary").columns)
     with pytest.raises(SystemExit):
         main(["ablation", str(tmp_path / "none"), str(tmp_path / "out")], spark)
+
+
+def test_bins_do_not_depend_on_how_values_are_cut(spark, monkeypatch):
+    from random import SystemRandom
+
+    drawn = F.udf(lambda n: sorted(SystemRandom().random() for _ in range(63)), "array<double>")  # others each time, as of sketches merged in another order
+    values = score.long(features.planted(spark, 400).select("row_id", "features", "label"))
+    expected = sorted(tuple(r) for r in score.binned(values, 10).select("feature", "row_id", "bin").collect())
+    monkeypatch.setattr(score.F, "percentile_approx", lambda value, *_: drawn(F.count(value)))
+    assert sorted(tuple(r) for r in score.binned(values, 10).select("feature", "row_id", "bin").collect()) == expected
