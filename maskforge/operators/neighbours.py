@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distances are compared after rounding to so many places, then by place.
 PLACES = 9
 #: Rows of a tile, and of a group within it whose least product is kept, in two levels.
-TILE, FINE, COARSE = 2048, 8, 64
+TILE, FINE, COARSE = 512, 8, 64
 #: Rows that are asked at once, and pairs whose distance is worked out in full at once.
 ASKED, PAIRS, SLICE = 512, 1 << 20, 1 << 15
 #: Pairs of rows that a task looks at, or somewhat more.
@@ -199,6 +200,19 @@ def size_of(rows: DataFrame) -> tuple[int, int]:
     return n, n * ((width or 0) + 2) * 8
 
 
+def gathered(rows: DataFrame, most: int, *more: str | Column) -> tuple[int, int, tuple[np.ndarray, ...] | None]:
+    """(rows, bytes, what ``collected`` gives of a table of at most ``most`` bytes); the rows are worked out once."""
+    own = rows.storageLevel == StorageLevel.NONE
+    if own:
+        rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, size = size_of(rows)
+        return n, size, collected(rows, *more) if 0 < size <= most else None
+    finally:
+        if own:
+            rows.unpersist()
+
+
 def dealt(spark: SparkSession, units: list[tuple], pairs: int, work: Callable[[tuple], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Rows that ``work`` makes of each unit; as many tasks as ``pairs`` of rows to look at ask for."""
     tasks = max(1, min(len(units), pairs // TASK_PAIRS + 1))
