@@ -19,10 +19,12 @@ def per_class(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label, tp, fp, fn of every label that is true or predicted somewhere under the keys."""
     cells = confusion(predictions, keys)
     hit = F.col("y") == F.col("p")
-    zero = F.lit(0).cast("long")
-    true = cells.select(*keys, F.col("y").alias("label"), F.when(hit, F.col("n")).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(hit, zero).otherwise(F.col("n")).alias("fn"))
-    said = cells.where(~hit).select(*keys, F.col("p").alias("label"), zero.alias("tp"), F.col("n").alias("fp"), zero.alias("fn"))
-    return true.unionByName(said).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    side = lambda label, tp, fp, fn: F.struct(F.col(label).alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    right, true, said = side("y", n, zero, zero), side("y", zero, zero, n), side("p", zero, n, zero)
+    # rows of one table: in a union of two the predictions are made twice
+    sides = F.when(hit, F.array(right)).when(~hit, F.array(true, said)).otherwise(F.array(true))
+    return cells.select(*keys, F.inline(sides)).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:

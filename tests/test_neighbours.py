@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskforge.operators import cluster, evaluate, neighbours, score
+from maskforge.operators import cluster, evaluate, metrics, neighbours, score
 from maskforge.operators.features import candidate_masks, plain_folds, planted, shuffled_split, with_split
 from maskforge.plans import protocols
 from maskforge.plans.search import LocalScorer, Options, SparkScorer, Task, base, scorer_for, search
@@ -123,3 +123,30 @@ def test_searches_of_many_rows_go_by_jobs(spark, monkeypatch):
     assert isinstance(local, LocalScorer) and isinstance(by_jobs, SparkScorer)
     assert search("PSO", Task(local), options) == search("PSO", Task(by_jobs), options)
     assert rows_of(protocols.hold_out(spark, {"planted": planted(spark)}, ["PSO"], 1, options).select("nf", "fitness", "accuracy", "mask")) == by_hold_out
+
+
+def counting(spark, rows):
+    """The rows again, and how often they were worked out."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        asked.add(1)
+        yield from batches
+
+    return rows.coalesce(1).mapInArrow(run, rows.schema), asked
+
+
+def test_predictions_are_made_once(spark):
+    predictions, asked = counting(spark, spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, None)], "cand_id long, y long, p long"))
+    assert sorted(tuple(r) for r in metrics.per_class(predictions, ["cand_id"]).collect()) == [(1, 0, 1, 0, 1), (1, 1, 0, 1, 1)]
+    assert asked.value == 1
+
+
+def test_tables_are_worked_out_once(spark):
+    masks = candidate_masks(spark, 2, 12)
+    rows, asked = counting(spark, with_split(planted(spark), 1).select("row_id", "features", "label", "is_valid"))
+    evaluate.predict(rows, masks).collect()
+    assert asked.value == 1
+    rows, asked = counting(spark, planted(spark).select("row_id", "features", "label"))
+    evaluate.predict_splits(rows, plain_folds(planted(spark), 3).select("row_id", "fold"), masks).collect()
+    assert asked.value == 1
