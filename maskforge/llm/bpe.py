@@ -35,14 +35,22 @@ from pyspark.sql import types as T
 
 from maskforge.llm.common import give_back, small_batches, table
 
-WIDE = 24
+#: Bytes of the words that are merged side by side, in matrices of these widths.
+WIDTHS = (8, 12, 16, 24, 40)
+WIDE = WIDTHS[-1]
 SHORT = 256
 MATRIX_ROWS = 1 << 16
 PIECE = 200_000
 CACHED_WORDS = 150_000
 #: Rows of an Arrow batch that are encoded and sent on together.
 ROWS_AT_ONCE = 256
-NEVER = 1 << 40
+NEVER = 1 << 30
+#: Slots of the table of mergeable pairs; what shares a slot is looked up among the sorted pairs.
+SLOTS = 1 << 18
+HASH, SLOT_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 18)
+#: ASCII signs that are a word of their own behind letters, and letters that are such in every version of Unicode.
+MARKS = {*".,;:!?*%$#)"}
+LAST_PLAIN = "\u024f"
 #: Unicode White_Space, as \s in the pre-tokenizer.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-tokenizer's pattern: letters, contractions, numbers, others, spaces. Letters never start where a contraction does, so they may come first.
@@ -61,6 +69,11 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+def plain(chunk: str) -> bool:
+    """True if all characters are letters, of the Latin blocks."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) <= LAST_PLAIN)
+
+
 def beside_white(text: str) -> bool:
     """True if a space may stand beside other white space."""
     return any(x in text for x in ASCII_BESIDE) or not text.isascii() and any(x in text for x in WIDE_WHITE)
@@ -89,9 +102,13 @@ class Codec:
             self.rank[vocab[left] << 20 | vocab[right]] = len(self.merged)
             self.merged.append(vocab[left + right])
         self.pair_keys = np.array(sorted(self.rank), dtype=np.int64)
-        self.pair_ranks = np.array([self.rank[k] for k in self.pair_keys.tolist()], dtype=np.int64)
-        self.merged_ids = np.array(self.merged, dtype=np.int64)
-        self.byte_ids = np.array(self.of_byte, dtype=np.int64)
+        self.pair_ranks = np.array([self.rank[k] for k in self.pair_keys.tolist()], dtype=np.int32)
+        slots = (self.pair_keys.view(np.uint64) * HASH >> SLOT_SHIFT).view(np.int64)
+        self.slots = np.zeros(SLOTS, dtype=np.int64)
+        self.slots[slots] = np.arange(len(slots))
+        self.crowded = np.bincount(slots, minlength=SLOTS) > 1
+        self.merged_ids = np.array(self.merged, dtype=np.int32)
+        self.byte_ids = np.array(self.of_byte, dtype=np.int32)
         self.lengths = np.array([len(b) for b in self.token_bytes], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
@@ -100,6 +117,7 @@ class Codec:
         self.specials = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.cache: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.batch: dict[str, bytes] = {}  # chunks that are not kept beyond the batch they were warmed for
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.of_byte[b] for b in word]
@@ -118,16 +136,23 @@ class Codec:
         return parts
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], NEVER)
-
-    def merge_rows(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of words of 1 to ``WIDE`` bytes, merged side by side."""
-        n, width = len(words), WIDE + 1
+        key = left.astype(np.int64) << 20 | right  # under 0, as no pair is, where a part is missing
+        slot = (key.view(np.uint64) * HASH >> SLOT_SHIFT).view(np.int64)
+        at = self.slots[slot]
+        rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(NEVER))
+        rest = np.nonzero(self.crowded[slot])
+        if rest[0].size:
+            few = key[rest]
+            at = np.minimum(np.searchsorted(self.pair_keys, few), len(self.pair_keys) - 1)
+            rank[rest] = np.where(self.pair_keys[at] == few, self.pair_ranks[at], NEVER)
+        return rank
+
+    def merge_rows(self, words: list[bytes], wide: int = WIDE) -> list[bytes]:
+        """Packed ids of words of 1 to ``wide`` bytes, merged side by side."""
+        n, width = len(words), wide + 1
         size = np.array([len(w) for w in words])
         inside = np.arange(width) < size[:, None]
-        parts = np.full((n, width), -1, dtype=np.int64)
+        parts = np.full((n, width), -1, dtype=np.int32)
         parts[inside] = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         ranks = self.ranks_of(parts[:, :-1], parts[:, 1:])
         rows, columns = np.arange(n), np.arange(width)
@@ -158,19 +183,37 @@ class Codec:
             if text and len(text) <= 4 * PIECE:
                 chunks.update(text.split(" "))
         chunks.difference_update(self.spaced)
-        found = {chunk: self.words.findall(f" {chunk}") for chunk in chunks}
+        found = {chunk: self.words_of(chunk) for chunk in chunks}
         new = set(itertools.chain.from_iterable(found.values())).difference(self.cache)
         if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
-        short = [(w, b) for w in new if len(b := w.encode("utf-8", "surrogatepass")) <= WIDE]
-        for i in range(0, len(short), MATRIX_ROWS):
-            some = short[i : i + MATRIX_ROWS]
-            self.cache.update(zip((w for w, _ in some), self.merge_rows([b for _, b in some]), strict=True))
+            new = set(itertools.chain.from_iterable(found.values()))
+        by_width: dict[int, list[tuple[str, bytes]]] = {w: [] for w in WIDTHS}
+        for w in new:
+            if (n := len(b := w.encode("utf-8", "surrogatepass"))) <= WIDE:
+                by_width[next(x for x in WIDTHS if n <= x)].append((w, b))
+        for wide, short in by_width.items():
+            for i in range(0, len(short), MATRIX_ROWS):
+                some = short[i : i + MATRIX_ROWS]
+                self.cache.update(zip((w for w, _ in some), self.merge_rows([b for _, b in some], wide), strict=True))
         if len(self.spaced) >= CACHED_WORDS:
             self.spaced.clear()
+        self.batch.clear()
+        get, packed = self.cache.get, self.packed
         for chunk, words in found.items():
+            ids = b"".join([get(w) or packed(w) for w in words]) if len(words) > 1 else get(words[0]) or packed(words[0])
             if len(chunk) <= 32 and "\n" not in chunk:
-                self.spaced[chunk] = b"".join(map(self.packed, words)) if len(words) > 1 else self.packed(words[0])
+                self.spaced[chunk] = ids
+            else:
+                self.batch[chunk] = ids
+
+    def words_of(self, chunk: str) -> list[str]:
+        """Words of a space and the characters up to the next one; the plainest kinds without the pattern."""
+        if plain(chunk):
+            return [f" {chunk}"]
+        if chunk[-1:] in MARKS and plain(chunk[:-1]):
+            return [f" {chunk[:-1]}", chunk[-1]]
+        return self.words.findall(f" {chunk}")
 
     def merge_long(self, parts: list[int]) -> list[int]:
         rank, n = self.rank, len(parts)
@@ -195,7 +238,7 @@ class Codec:
         got = self.cache.get(word)
         if got is None:
             got = np.array(self.merge(word.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
-            if len(self.cache) >= CACHED_WORDS:
+            if len(self.cache) >= 2 * CACHED_WORDS:  # not sooner: a batch's words are in it beyond the others
                 self.cache.clear()
             if len(word) <= 64:
                 self.cache[word] = got
@@ -222,15 +265,15 @@ class Codec:
             out.extend(map(self.packed, self.words.findall(text)))
         else:
             first, *rest = text.split(" ")
-            get, packed = self.spaced.get, self.packed_chunk
+            get, now, packed = self.spaced.get, self.batch.get, self.packed_chunk
             out.extend(map(self.packed, self.words.findall(first)))
-            out.extend([get(c) or packed(c) for c in rest])
+            out.extend([get(c) or now(c) or packed(c) for c in rest])
 
     def packed_chunk(self, chunk: str) -> bytes:
         """Ids of a space and the characters up to the next one."""
         got = b"".join(map(self.packed, self.words.findall(f" {chunk}")))
         if len(chunk) <= 32 and "\n" not in chunk:
-            if len(self.spaced) >= CACHED_WORDS:
+            if len(self.spaced) >= 2 * CACHED_WORDS:
                 self.spaced.clear()
             self.spaced[chunk] = got
         return got
@@ -269,10 +312,10 @@ def load_vocabulary(path: str) -> bytes:
     return source
 
 
-def _mapped(df: DataFrame, source: bytes, column: str, names: dict[str, T.DataType], convert) -> DataFrame:
-    """``df`` with the named columns made from ``column``; other columns pass through unchanged."""
+def _mapped(df: DataFrame, source: bytes, column: str, names: dict[str, T.DataType], convert, gone: str | None = None) -> DataFrame:
+    """``df`` with the named columns made from ``column``; other columns but ``gone`` pass through unchanged."""
     shared = df.sparkSession.sparkContext.broadcast(source)
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and f.name != gone]
     schema = T.StructType([*kept, *[T.StructField(n, kind) for n, kind in names.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +352,17 @@ def encode(df: DataFrame, source: bytes, text: str = "text", name: str = "ids",
     return _mapped(df, source, text, names, convert)
 
 
+def counted(df: DataFrame, source: bytes, name: str, text: str = "text") -> DataFrame:
+    """The number of ids of column ``text``, which gives way to it."""
+
+    def convert(codec: Codec, column: pa.Array) -> list[pa.Array]:
+        texts = column.to_pylist()
+        codec.warm(texts)
+        return [pa.array([len(codec.encode(x)) // 4 for x in texts], pa.int64())]
+
+    return _mapped(df, source, text, {name: T.LongType()}, convert, text)
+
+
 def decode(df: DataFrame, source: bytes, ids: str = "ids", name: str = "text") -> DataFrame:
     """Adds the text of column ``ids``, which is an array of int or packed bytes."""
 

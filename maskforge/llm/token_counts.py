@@ -31,7 +31,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm.bpe import default_vocabulary, encode, n_ids
+from maskforge.llm.bpe import counted as bpe_counted
+from maskforge.llm.bpe import default_vocabulary
 from maskforge.llm.common import checkpoint_root, table, written
 from maskforge.llm.quality import words_of
 
@@ -52,12 +53,11 @@ BPE = "byte_bpe_50k"
 def counts(docs: DataFrame, versions: list[str], vocabulary: bytes | None = None) -> DataFrame:
     """doc_id, source, lang and a column of token counts for each version; ``vocabulary`` is the BPE version's JSON (default: the public 50k one)."""
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), text.alias("text"))
-    made = {v: F.coalesce(TOKENIZERS[v](F.col("text")), F.lit(0)).cast("long") for v in versions if v != BPE}
+    plain = [F.coalesce(TOKENIZERS[v](text), F.lit(0)).cast("long").alias(v) for v in versions if v != BPE]
+    rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), *plain, text.alias("_text"))
     if BPE in versions:
-        rows = encode(rows, vocabulary or default_vocabulary(), name="_ids", packed=True)
-        made[BPE] = n_ids(F.col("_ids"))
-    return rows.select("doc_id", "source", "lang", *[c.alias(v) for v, c in made.items()])
+        rows = bpe_counted(rows, vocabulary or default_vocabulary(), BPE, "_text")
+    return rows.select("doc_id", "source", "lang", *[F.col(f"`{v}`") for v in versions])
 
 
 def of_version(counts: DataFrame, tokenizer: str) -> DataFrame:

@@ -52,6 +52,29 @@ def test_bpe_in_pieces(codec, library, monkeypatch):
     assert codec.decode(codec.encode(text)) == text
 
 
+def test_words_of_a_batch_stay_until_they_are_used(monkeypatch):
+    small = bpe.Codec(bpe.default_vocabulary())
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 100)
+    text = "First " + " ".join(f"{a}{b}\n{b}{a}" for a, b in itertools.combinations(["ander", "bo", "cé", "dal", "essen", "fun", "gö", "his", "ino", "jul", "kap"], 2))
+    merged = []
+    monkeypatch.setattr(small, "merge", lambda word, merge=small.merge: merged.append(word) or merge(word))
+    small.warm([text, text.replace("o", "u")])
+    assert len(bpe.array_of(small.encode(text))) > 110
+    assert merged == [b"First"]  # the others were merged side by side
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abéßɏɐǆªµ×'s.,;)#1\n٣ー漢", min_size=1, max_size=6))
+def test_plain_words_as_the_pattern(codec, chunk):
+    assert codec.words_of(chunk) == codec.words.findall(f" {chunk}")
+
+
+def test_ranks_of_pairs(codec):
+    left, right = (np.array([f(k) for k in codec.rank] + [0, -1, 7], np.int32) for f in (lambda k: k >> 20, lambda k: k & (1 << 20) - 1))
+    expected = [codec.rank.get(a << 20 | b, bpe.NEVER) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    assert codec.crowded.any() and codec.ranks_of(left, right).tolist() == expected
+
+
 def test_bpe_query(spark, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in registry.queries()["op1_bpe"](spark, DATA).collect():
