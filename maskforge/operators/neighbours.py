@@ -8,6 +8,7 @@ is bounded by tiles: no matrix of all pairs is held.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ PLACES = 9
 TILE, FINE, COARSE = 512, 8, 64
 #: Rows that are asked at once, and pairs whose distance is worked out in full at once.
 ASKED, PAIRS, SLICE = 512, 1 << 20, 1 << 15
+#: Nested columns: rows kept to bound the next distances, numbers of columns looked ahead,
+#: one of how many rows is counted before, and rows that may be left for each asked one.
+POOL, AHEAD, SAMPLED, EACH = 96, 16, 32, 384
 #: Pairs of rows that a task looks at, or somewhat more.
 TASK_PAIRS = 1 << 28
 #: Values beyond this are compared in full only.
@@ -52,9 +56,9 @@ class Rows:
             z = self.x - self.centre
             length = np.square(z).sum(1)
             self.wide = np.zeros((-(-self.n // COARSE) * COARSE, self.d + 1), np.float32)
-            self.wide[: self.n, :-1] = -2 * z
-            self.wide[:, -1] = 3e38  # what only fills up is far from all
-            self.wide[: self.n, -1] = length
+            self.wide[: self.n, 1:] = -2 * z
+            self.wide[:, 0] = 3e38  # what only fills up is far from all
+            self.wide[: self.n, 0] = length
             self.reach = float(np.sqrt(length.max()))
 
     def ready(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,13 +66,34 @@ class Rows:
         z = asked - self.centre
         length = np.square(z).sum(1)
         columns = np.ones((self.d + 1, len(asked)), np.float32)
-        columns[:-1] = z.T
+        columns[1:] = z.T
         size, most = np.sqrt(length), max(self.most, float(np.abs(asked).max(initial=0.0)))
         terms = 2 * size * self.reach + self.reach**2
         error = (self.d + 10) * 2.0**-23 * terms + 1e-15 * most * (self.d + 1) * (size + self.reach) + 4e-9 * (1 + size + self.reach)
         return columns, length, error
 
 
+class Nest(Rows):
+    """Rows to look among by their first columns, as many as are asked for, in one memory."""
+
+    def __init__(self, x: np.ndarray):
+        super().__init__(x)
+        if self.usable:
+            lengths = np.cumsum(np.square(self.x - self.centre), axis=1)
+            self.reaches = np.sqrt(lengths.max(0))
+            self.lengths = np.ascontiguousarray(lengths.T, np.float32)
+            self.halved = np.ascontiguousarray(self.wide[:, 1:].T) / 2  # the centred columns, less than nothing
+
+    def first(self, d: int) -> Rows:
+        """The rows by their first d columns; it holds until the next is asked for."""
+        rows = copy(self)
+        rows.x, rows.d = self.x[:, :d], d
+        if self.usable:
+            rows.centre, rows.wide, rows.reach = self.centre[:d], self.wide[:, : d + 1], float(self.reaches[d - 1])
+            rows.wide[: self.n, 0] = self.lengths[d - 1]
+        return rows
+
+
 def usable(asked: np.ndarray, rows: Rows) -> bool:
     return rows.usable and float(np.abs(asked).max(initial=0.0)) < LARGE
 
@@ -99,6 +124,8 @@ def _nearest(asked: np.ndarray, rows: Rows, k: int, root: bool) -> tuple[np.ndar
     n = len(asked)
     if not k or k * COARSE > rows.n or not usable(asked, rows):
         return _nearest_in_full(asked, rows, k, root)
+    if rows.d == 1:
+        return _nearest_on_a_line(asked, rows, k, root)
     columns, length, error = rows.ready(asked)
     least = np.empty((len(rows.wide) // FINE, n), np.float32)
     for i in range(0, len(rows.wide), TILE):
@@ -121,12 +148,35 @@ def _nearest(asked: np.ndarray, rows: Rows, k: int, root: bool) -> tuple[np.ndar
     who, place = who[place < rows.n], place[place < rows.n]
     d = squared(asked, who, rows.x, place)
     near = d - length[who] <= limit[who]
-    who, place, d = who[near], place[near], _rounded(d[near], root)
+    return _least(who[near], place[near], _rounded(d[near], root), n, k)
+
+
+def _least(who: np.ndarray, place: np.ndarray, d: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least distances, ties by place, of each of n rows."""
     order = np.lexsort((place, d, who))
     chosen = order[np.searchsorted(who[order], np.arange(n))[:, None] + np.arange(k)]
     return d[chosen], place[chosen]
 
 
+def _nearest_on_a_line(asked: np.ndarray, rows: Rows, k: int, root: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_nearest`` by one column, whose order gives the rows that are near."""
+    order = np.argsort(rows.x[:, 0], kind="stable")
+    line, own = rows.x[order, 0], asked[:, 0]
+    beside = np.searchsorted(line, own)[:, None] + np.arange(-k, k)
+    gap = np.abs(line[np.clip(beside, 0, rows.n - 1)] - own[:, None])
+    gap[(beside < 0) | (beside >= rows.n)] = np.inf
+    reach = np.partition(gap, k - 1, axis=1)[:, k - 1]
+    reach = np.maximum(np.sqrt(reach * reach + 4e-9), reach + 4e-9) * (1 + 1e-12) + 1e-15 * (rows.most + np.abs(own))
+    start, stop = np.searchsorted(line, own - reach), np.searchsorted(line, own + reach, "right")
+    each, n = stop - start, len(asked)
+    if each.sum() > PAIRS and n > 1:
+        halves = [_nearest_on_a_line(x, rows, k, root) for x in (asked[: n // 2], asked[n // 2 :])]
+        return np.concatenate([d for d, _ in halves]), np.concatenate([p for _, p in halves])
+    who = np.repeat(np.arange(n), each)
+    place = order[np.arange(len(who)) + np.repeat(start - (np.cumsum(each) - each), each)]
+    return _least(who, place, _rounded(squared(asked, who, rows.x, place), root), n, k)
+
+
 def _nearest_in_full(asked: np.ndarray, rows: Rows, k: int, root: bool) -> tuple[np.ndarray, np.ndarray]:
     out_d, out_p = np.empty((len(asked), k)), np.empty((len(asked), k), dtype=np.int64)
     step = max(1, PAIRS // max(1, rows.n))
@@ -141,6 +191,122 @@ def _nearest_in_full(asked: np.ndarray, rows: Rows, k: int, root: bool) -> tuple
     return out_d, out_p
 
 
+def nearest_nested(asked: np.ndarray, nest: Nest, sizes: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What ``nearest_rows`` gives by the first columns, for each of the ascending numbers of them.
+
+    Distances grow with the columns: what is near by more of them is no further by fewer. So the
+    products by some columns, with a bound for the nearest by a few more, leave few rows for all
+    the numbers in between.
+    """
+    k = min(k, nest.n)
+    parts = [_nested(asked[i : i + ASKED], nest, sizes, k) for i in range(0, len(asked), ASKED)]
+    if not parts:
+        return [(np.empty((0, k)), np.empty((0, k), dtype=np.int64)) for _ in sizes]
+    return [(np.concatenate([d for d, _ in of]), np.concatenate([p for _, p in of])) for of in zip(*parts, strict=True)]
+
+
+def _nested(asked: np.ndarray, nest: Nest, sizes: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    pool, n = None, len(asked)
+    while len(found) < len(sizes):
+        ahead = sizes[len(found) : len(found) + AHEAD]
+        rows = nest.first(ahead[0])
+        got = _between(asked, nest, rows, ahead, *pool, k) if pool is not None and usable(asked, nest) else None
+        if got is None:
+            _, place = nearest_rows(asked[:, : rows.d], rows, max(k, POOL) if len(found) + 1 < len(sizes) else k)
+            d = grown(asked, np.repeat(np.arange(n), place.shape[1]), nest.x, place.ravel(), 0.0, 0, ahead[:1]).reshape(place.shape)
+            found.append((np.round(d[:, :k], PLACES), place[:, :k]))
+            pool = place, d, ahead[0]
+        else:
+            some, pool = got
+            found += some
+    return found
+
+
+def _between(
+    asked: np.ndarray, nest: Nest, rows: Rows, ahead: list[int], near: np.ndarray, far: np.ndarray, known: int, k: int
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, int]] | None:
+    """(what is nearest by the first numbers of columns ahead; places, distances and their number of columns for the next call); None if too many rows are left.
+
+    near, far: different places for each asked row, at least k, and their squared distances by
+    the ``known`` first columns, infinite for what only fills up.
+    """
+    n = len(asked)
+    ids, starts = np.arange(n), np.arange(0, n, 64)
+    further = grown(asked, np.repeat(ids, near.shape[1]), nest.x, near.ravel(), far.ravel(), known, ahead).reshape(*near.shape, -1)
+    most = np.partition(further, k - 1, axis=1)[:, k - 1]  # the k nearest are no further
+    columns, length, _ = nest.first(ahead[-1]).ready(asked[:, : ahead[-1]])
+    size, reach = np.sqrt(length), float(nest.reaches[ahead[-1] - 1])
+    error = (ahead[-1] + 20) * 2.0**-23 * (size + reach) ** 2 + 1e-15 * max(nest.most, float(np.abs(asked).max())) * (ahead[-1] + 1) * (size + reach) + 4e-9 * (1 + size + reach)
+    own = np.square(asked[:, : rows.d] - rows.centre).sum(1)
+    bound = np.nextafter((most - own[:, None] + error[:, None]).astype(np.float32), np.float32(np.inf))
+    wide, first = nest.first(rows.d).wide, columns[: rows.d + 1]
+    sample = wide[::SAMPLED] @ first
+    end = 0
+    while end < len(ahead) and np.count_nonzero(sample <= bound[:, end]) * SAMPLED <= EACH * n:
+        end += 1
+    if not end:
+        return None
+    tile, flags, high = np.empty((TILE, n), np.float32), np.empty((TILE, n), bool), bound[:, end - 1]
+    hit, product, total = [], [], 0
+    for i in range(0, len(wide), TILE):
+        part = wide[i : i + TILE]
+        np.matmul(part, first, out=tile[: len(part)])
+        np.less_equal(tile[: len(part)], high, out=flags[: len(part)])
+        at = np.flatnonzero(flags[: len(part)])
+        hit.append(at + i * n)
+        product.append(tile.ravel()[at])
+        total += len(at)
+        if total > PAIRS:
+            return None
+    place, who = np.divmod(np.concatenate(hit), n)
+    order = np.argsort(who.astype(np.int16), kind="stable")  # places ascend for each
+    who, place, d = who[order], place[order], np.concatenate(product)[order]
+    left = d <= bound[who, 0]
+    for i in range(1, end):  # what is too far by some number of columns may be near by another
+        for f in range(ahead[i - 1], ahead[i]):
+            d += np.square(columns[f + 1][who] + nest.halved[f][place])
+        left |= d <= bound[who, i]
+    who, place = who[left], place[left]
+    whole = grown(asked, who, nest.x, place, 0.0, 0, ahead[:end])
+    each = np.bincount(who, minlength=n)
+    begin, ranked, wanted = np.cumsum(each) - each, np.argsort(each, kind="stable"), max(k, POOL)
+    found = [(np.empty((n, k)), np.empty((n, k), np.int64)) for _ in range(end)]
+    near, far = np.zeros((n, wanted), np.int64), np.full((n, wanted), np.inf)
+    for s in starts:  # rows with about as many left
+        some = ranked[s : s + 64]
+        across = np.arange(each[some[-1]])
+        filled = across < each[some][:, None]
+        at = np.where(filled, begin[some][:, None] + across, 0)
+        places, row = place[at], np.arange(len(some))
+        for i in range(end):
+            d = np.where(filled, whole[at, i], np.inf)
+            if i == end - 1:
+                best = np.argpartition(d, wanted - 1, axis=1)[:, :wanted] if len(across) > wanted else np.broadcast_to(across, d.shape)
+                near[some, : best.shape[1]] = np.take_along_axis(places, best, 1)
+                far[some, : best.shape[1]] = np.take_along_axis(d, best, 1)
+            d = np.round(d, PLACES)
+            for j in range(k):
+                c = d.argmin(1)
+                found[i][0][some, j], found[i][1][some, j] = d[row, c], places[row, c]
+                d[row, c] = np.inf
+    return found, (near, far, ahead[end - 1])
+
+
+def grown(a: np.ndarray, who: np.ndarray, b: np.ndarray, place: np.ndarray, d: np.ndarray | float, known: int, sizes: list[int]) -> np.ndarray:
+    """Squared distances of rows a[who] and b[place] by the first columns, for each number of them, from those by the ``known`` first ones."""
+    out, ends = np.empty((len(who), len(sizes))), np.array(sizes) - known
+    a, b = a[:, known : sizes[-1]], b[:, known : sizes[-1]]
+    d = np.broadcast_to(d, len(who))
+    for i in range(0, len(who), SLICE // 8):
+        some = slice(i, i + SLICE // 8)
+        gap = np.empty((len(who[some]), sizes[-1] - known + 1))
+        gap[:, 0] = d[some]
+        gap[:, 1:] = np.square(a[who[some]] - b[place[some]])
+        out[some] = np.cumsum(gap, axis=1, out=gap)[:, ends]
+    return out
+
+
 def hits(asked: np.ndarray, rows: Rows, eps: float, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(first place, matrix of places by asked rows: at most eps apart after rounding) of each tile between start and stop."""
     stop = rows.n if stop is None else stop

@@ -150,3 +150,51 @@ def test_tables_are_worked_out_once(spark):
     rows, asked = counting(spark, planted(spark).select("row_id", "features", "label"))
     evaluate.predict_splits(rows, plain_folds(planted(spark), 3).select("row_id", "fold"), masks).collect()
     assert asked.value == 1
+
+
+@pytest.mark.parametrize(("d", "places", "shift"), [(6, 1, 0), (24, 9, 0), (12, 9, 1000), (9, 0, 0)])
+def test_nested_columns_as_each_by_itself(monkeypatch, d, places, shift):
+    monkeypatch.setattr(neighbours, "SAMPLED", 4)
+    draw = np.random.default_rng(d)
+    b = np.round(draw.random((6500, d)), places) + shift
+    b[700:900] = b[3]  # copies: ties go to the smaller place
+    b[:, 2] = shift
+    a = np.concatenate([b[::30], draw.random((400, d)) + shift])
+    sizes = [*range(1, d - 2), d - 2, d]  # one twice, one left out
+    for size, (got, place) in zip(sizes, neighbours.nearest_nested(a, neighbours.Nest(b), sizes, 4), strict=True):
+        whole = in_full(a[:, :size], b[:, :size], False)
+        expected = np.argsort(whole, axis=1, kind="stable")[:, :4]
+        assert (place == expected).all()
+        assert np.allclose(got, np.take_along_axis(whole, expected, 1), atol=1e-8, rtol=0)
+
+
+def test_nested_columns_of_odd_rows():
+    b = np.array([[0.0, 1.0], [1e200, 2.0], [3.0, 0.0]])
+    found = neighbours.nearest_nested(np.array([[2.0, 1.0]]), neighbours.Nest(b), [1, 2], 5)
+    assert [place.tolist() for _, place in found] == [[[2, 0, 1]], [[2, 0, 1]]]
+    assert [place.shape for _, place in neighbours.nearest_nested(np.empty((0, 2)), neighbours.Nest(b), [1, 2], 2)] == [(0, 2)] * 2
+
+
+def test_masks_that_grow_are_scored_together(spark, monkeypatch):
+    split = with_split(planted(spark, 2000), 1)
+    order = [5, 2, 8, 0, 11, 3, 10, 1, 4, 6, 7, 9]
+    masks = evaluate.prefix_candidates(order, 12) + [(20 + i, m) for i, (_, m) in enumerate(evaluate.prefix_candidates(order[::-1], 12, [3, 3, 5]))]
+    assert [len(c) for c in evaluate.chains([np.array(m, bool) for _, m in masks])] == [12, 3]
+    masks = spark.createDataFrame(masks, "cand_id int, mask array<int>")
+    each = sorted(evaluate.predict(split, masks).collect())
+    monkeypatch.setattr(evaluate, "nearest_rows", None)  # not used
+    monkeypatch.setattr(evaluate, "NESTED_ROWS", 100)
+    assert sorted(evaluate.predict(split, masks).collect()) == each
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 0)
+    assert sorted(evaluate.predict(split, masks).collect()) == each
+
+
+def test_nested_columns_take_fewer_looks_than_numbers(monkeypatch):
+    draw = np.random.default_rng(1)
+    a, b = draw.random((300, 40)), draw.random((20_000, 40))
+    alone, between = [], []
+    whole, some = neighbours.nearest_rows, neighbours._between
+    monkeypatch.setattr(neighbours, "nearest_rows", lambda *x: alone.append(1) or whole(*x))
+    monkeypatch.setattr(neighbours, "_between", lambda *x: between.append(some(*x)) or between[-1])
+    neighbours.nearest_nested(a, neighbours.Nest(b), list(range(1, 41)), 3)
+    assert len(alone) + sum(x is not None for x in between) <= 25
