@@ -24,7 +24,7 @@ TILE, FINE, COARSE = 512, 8, 64
 ASKED, PAIRS, SLICE = 512, 1 << 20, 1 << 15
 #: Nested columns: rows kept to bound the next distances, numbers of columns looked ahead,
 #: one of how many rows is counted before, and rows that may be left for each asked one.
-POOL, AHEAD, SAMPLED, EACH = 96, 16, 32, 384
+POOL, AHEAD, SAMPLED, EACH = 64, 12, 64, 256
 #: Pairs of rows that a task looks at, or somewhat more.
 TASK_PAIRS = 1 << 28
 #: Values beyond this are compared in full only.
@@ -232,15 +232,15 @@ def _between(
     the ``known`` first columns, infinite for what only fills up.
     """
     n = len(asked)
-    ids, starts = np.arange(n), np.arange(0, n, 64)
-    further = grown(asked, np.repeat(ids, near.shape[1]), nest.x, near.ravel(), far.ravel(), known, ahead).reshape(*near.shape, -1)
+    further = grown(asked, np.repeat(np.arange(n), near.shape[1]), nest.x, near.ravel(), far.ravel(), known, ahead).reshape(*near.shape, -1)
     most = np.partition(further, k - 1, axis=1)[:, k - 1]  # the k nearest are no further
-    columns, length, _ = nest.first(ahead[-1]).ready(asked[:, : ahead[-1]])
-    size, reach = np.sqrt(length), float(nest.reaches[ahead[-1] - 1])
+    z = asked[:, : ahead[-1]] - nest.centre[: ahead[-1]]
+    columns = np.concatenate([np.ones((1, n), np.float32), z.T.astype(np.float32)])
+    size, reach = np.sqrt(np.square(z).sum(1)), float(nest.reaches[ahead[-1] - 1])
     error = (ahead[-1] + 20) * 2.0**-23 * (size + reach) ** 2 + 1e-15 * max(nest.most, float(np.abs(asked).max())) * (ahead[-1] + 1) * (size + reach) + 4e-9 * (1 + size + reach)
-    own = np.square(asked[:, : rows.d] - rows.centre).sum(1)
+    own = np.square(z[:, : rows.d]).sum(1)
     bound = np.nextafter((most - own[:, None] + error[:, None]).astype(np.float32), np.float32(np.inf))
-    wide, first = nest.first(rows.d).wide, columns[: rows.d + 1]
+    wide, first = rows.wide, columns[: rows.d + 1]
     sample = wide[::SAMPLED] @ first
     end = 0
     while end < len(ahead) and np.count_nonzero(sample <= bound[:, end]) * SAMPLED <= EACH * n:
@@ -267,32 +267,37 @@ def _between(
         for f in range(ahead[i - 1], ahead[i]):
             d += np.square(columns[f + 1][who] + nest.halved[f][place])
         left |= d <= bound[who, i]
+    near, far = np.zeros((n, max(k, POOL)), np.int64), np.full((n, max(k, POOL)), np.inf)
+    for some, at, filled in _by_row(who, n):
+        apart = np.where(filled, d[at], np.float32(np.inf))
+        best = np.argpartition(apart, near.shape[1] - 1, axis=1)[:, : near.shape[1]] if apart.shape[1] > near.shape[1] else np.arange(apart.shape[1])[None].repeat(len(some), 0)
+        near[some, : best.shape[1]] = np.take_along_axis(place[at], best, 1)
+        far[some, : best.shape[1]] = np.take_along_axis(apart, best, 1) + (own + error)[some, None]  # at most so far
     who, place = who[left], place[left]
-    whole = grown(asked, who, nest.x, place, 0.0, 0, ahead[:end])
-    each = np.bincount(who, minlength=n)
-    begin, ranked, wanted = np.cumsum(each) - each, np.argsort(each, kind="stable"), max(k, POOL)
+    whole = np.round(grown(asked, who, nest.x, place, 0.0, 0, ahead[:end]), PLACES)
     found = [(np.empty((n, k)), np.empty((n, k), np.int64)) for _ in range(end)]
-    near, far = np.zeros((n, wanted), np.int64), np.full((n, wanted), np.inf)
-    for s in starts:  # rows with about as many left
-        some = ranked[s : s + 64]
-        across = np.arange(each[some[-1]])
-        filled = across < each[some][:, None]
-        at = np.where(filled, begin[some][:, None] + across, 0)
+    for some, at, filled in _by_row(who, n):
         places, row = place[at], np.arange(len(some))
-        for i in range(end):
-            d = np.where(filled, whole[at, i], np.inf)
-            if i == end - 1:
-                best = np.argpartition(d, wanted - 1, axis=1)[:, :wanted] if len(across) > wanted else np.broadcast_to(across, d.shape)
-                near[some, : best.shape[1]] = np.take_along_axis(places, best, 1)
-                far[some, : best.shape[1]] = np.take_along_axis(d, best, 1)
-            d = np.round(d, PLACES)
+        for i, (out_d, out_p) in enumerate(found):
+            apart = np.where(filled, whole[at, i], np.inf)
             for j in range(k):
-                c = d.argmin(1)
-                found[i][0][some, j], found[i][1][some, j] = d[row, c], places[row, c]
-                d[row, c] = np.inf
+                c = apart.argmin(1)
+                out_d[some, j], out_p[some, j] = apart[row, c], places[row, c]
+                apart[row, c] = np.inf
     return found, (near, far, ahead[end - 1])
 
 
+def _by_row(who: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(some of n rows that have about as many pairs, matrix of their pairs' indices, whether each is one) of pairs in order of their row."""
+    each = np.bincount(who, minlength=n)
+    begin, ranked = np.cumsum(each) - each, np.argsort(each, kind="stable")
+    for s in range(0, n, 64):
+        some = ranked[s : s + 64]
+        across = np.arange(each[some[-1]])
+        filled = across < each[some][:, None]
+        yield some, np.where(filled, begin[some][:, None] + across, 0), filled
+
+
 def grown(a: np.ndarray, who: np.ndarray, b: np.ndarray, place: np.ndarray, d: np.ndarray | float, known: int, sizes: list[int]) -> np.ndarray:
     """Squared distances of rows a[who] and b[place] by the first columns, for each number of them, from those by the ``known`` first ones."""
     out, ends = np.empty((len(who), len(sizes))), np.array(sizes) - known

@@ -56,9 +56,30 @@ def uncertainty() -> Column:
     return F.when(total > 0, 2 * F.col("mi") / total).otherwise(0.0)
 
 
-def label_information(features: DataFrame, bins: int = 10) -> DataFrame:
-    """feature, mi and su (symmetrical uncertainty) with the label."""
-    joint = binned(long(features), bins).groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
+def label_counts(features: DataFrame, bins: int = 10) -> DataFrame | None:
+    """feature, bin, label, n (as many rows as there are of these), counted in memory; None if the table is over ``BROADCAST_BYTES``, or rows lack values or differ in length."""
+    width, lacks = F.size("features"), F.exists("features", lambda v: v.isNull() | F.isnan(v.cast("double")))
+    odd = F.col("features").isNull() | F.col("label").isNull() | F.col("row_id").isNull() | lacks
+    n, least, most, some_odd = features.agg(F.count("*"), F.min(width), F.max(width), F.max(odd.cast("int"))).first()
+    if not n or some_odd or least != most or not most or n * (most + 2) * 8 > evaluate.BROADCAST_BYTES:
+        return None
+    _, x, y = collected(features, "label")
+    labels, code = np.unique(y, return_inverse=True)
+    bin_of = np.arange(n) * bins // n
+    counts = np.zeros((most, bins, len(labels)), np.int64)
+    for f in range(most):  # ids ascend, so ties are in row order
+        order = np.argsort(x[:, f], kind="stable")
+        counts[f] = np.bincount(bin_of * len(labels) + code[order], minlength=bins * len(labels)).reshape(bins, -1)
+    f, b, c = np.nonzero(counts)
+    table = pa.table({"feature": f.astype(np.int32), "bin": b.astype(np.int32), "label": labels[c], "n": counts[f, b, c]})
+    return features.sparkSession.createDataFrame(table).coalesce(1)
+
+
+def label_information(features: DataFrame, bins: int = 10, gather: bool = False) -> DataFrame:
+    """feature, mi and su (symmetrical uncertainty) with the label; with ``gather`` a table that may be sent to every task is counted in memory."""
+    joint = label_counts(features, bins) if gather else None
+    if joint is None:
+        joint = binned(long(features), bins).groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
     return information(joint, ["feature"], "bin", "label").select("feature", "mi", uncertainty().alias("su"))
 
 

@@ -6,6 +6,7 @@ Floats are rounded to six places on both sides, as the order of sums differs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -378,9 +379,11 @@ def graph_score(spark, sf_dir):
 
 @query("prefix_sweep_best", f"{EMB}, {SPLIT}, {LABEL_INFO.replace('joint', 'lj')}, ranked as (select f, row_number() over (order by round(su, 9) desc, f) as k from label_info), masks as (select n as cand_id, f, (k <= n)::int as bit from ranked, range(1, {D + 1}) t(n)), {evaluate.KNN_SQL.replace('pairs', 'kp')}, {metrics.metrics_sql(['cand_id'])}, best as (select cand_id, round(0.99 * (1 - accuracy) + 0.01 * cand_id / {D}, 6) as fitness from metrics) select cand_id::int as n_selected, fitness from best order by fitness, cand_id limit 1")
 def prefix_sweep_best(spark, sf_dir):
-    order = score.label_information(feat.embeddings(spark, sf_dir)).orderBy(F.desc(F.round("su", 9)), "feature").select("feature").collect()  # one row per feature
+    with ThreadPoolExecutor() as pool:  # the ranking is made beside the split table
+        table = pool.submit(evaluate.Prepared, split_of(spark, sf_dir))
+        order = score.label_information(feat.embeddings(spark, sf_dir), gather=True).orderBy(F.desc(F.round("su", 9)), "feature").select("feature").collect()  # one row per feature
     masks = spark.createDataFrame(evaluate.prefix_candidates([r[0] for r in order], D), "cand_id int, mask array<int>")
-    return evaluate.fitness(split_of(spark, sf_dir), masks).select("n_selected", r6("fitness")).orderBy("fitness", "n_selected").limit(1)
+    return evaluate.fitness(table.result(), masks).select("n_selected", r6("fitness")).orderBy("fitness", "n_selected").limit(1)
 
 
 # graphs and clusters

@@ -198,3 +198,16 @@ def test_nested_columns_take_fewer_looks_than_numbers(monkeypatch):
     monkeypatch.setattr(neighbours, "_between", lambda *x: between.append(some(*x)) or between[-1])
     neighbours.nearest_nested(a, neighbours.Nest(b), list(range(1, 41)), 3)
     assert len(alone) + sum(x is not None for x in between) <= 25
+
+
+def test_labels_counted_in_memory_as_by_jobs(spark, monkeypatch):
+    rows = planted(spark, 300).withColumn("features", F.transform("features", lambda v, i: F.when(i % 2 == 0, F.round(v, 1)).otherwise(v)))  # ties
+    order = lambda r: sorted((x["feature"], round(x["mi"], 9), round(x["su"], 9)) for x in r.collect())
+    whole = order(score.label_information(rows))
+    monkeypatch.setattr(score, "binned", None)  # not used
+    assert order(score.label_information(rows, gather=True)) == whole
+    lacking = F.transform("features", lambda v, i: F.when((F.col("row_id") > 5) | (i > 0), v))
+    for odd in (rows.withColumn("features", lacking), rows.withColumn("features", F.slice("features", 1, (F.col("row_id") % 2 + 3).cast("int"))), rows.where("row_id < 0"), rows.withColumn("label", F.lit(None).cast("int"))):
+        assert score.label_counts(odd) is None
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 0)
+    assert score.label_counts(rows) is None
