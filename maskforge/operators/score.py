@@ -63,13 +63,14 @@ def label_counts(features: DataFrame, bins: int = 10) -> DataFrame | None:
     n, least, most, some_odd = features.agg(F.count("*"), F.min(width), F.max(width), F.max(odd.cast("int"))).first()
     if not n or some_odd or least != most or not most or n * (most + 2) * 8 > evaluate.BROADCAST_BYTES:
         return None
-    _, x, y = collected(features, "label")
-    labels, code = np.unique(y, return_inverse=True)
-    bin_of = np.arange(n) * bins // n
-    counts = np.zeros((most, bins, len(labels)), np.int64)
-    for f in range(most):  # ids ascend, so ties are in row order
-        order = np.argsort(x[:, f], kind="stable")
-        counts[f] = np.bincount(bin_of * len(labels) + code[order], minlength=bins * len(labels)).reshape(bins, -1)
+    bin_of, counts, step = np.arange(n) * bins // n, [], max(1, BLOCK_BYTES // (8 * n))
+    for start in range(0, most, step):  # some features at once spare the driver's memory
+        _, x, y = collected(features.select("row_id", F.slice("features", start + 1, step).alias("features"), "label"), "label")
+        labels, code = np.unique(y, return_inverse=True)
+        for values in x.T:  # ids ascend, so ties are in row order
+            order = np.argsort(values, kind="stable")
+            counts.append(np.bincount(bin_of * len(labels) + code[order], minlength=bins * len(labels)).reshape(bins, -1))
+    counts = np.array(counts)
     f, b, c = np.nonzero(counts)
     table = pa.table({"feature": f.astype(np.int32), "bin": b.astype(np.int32), "label": labels[c], "n": counts[f, b, c]})
     return features.sparkSession.createDataFrame(table).coalesce(1)
